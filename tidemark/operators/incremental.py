@@ -157,7 +157,7 @@ class RunStore:
         return jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(conf), jvm.org.apache.hadoop.fs.Path
 
     def last(self) -> dict | None:
-        """The newest commit: {"run", "output", "state"}; None before the first."""
+        """The newest commit: its number, tag, and the paths of its outputs and parts of the state; None before the first."""
         fs, Path = self._fs()
         folder = Path(f"{self.path}/commits")
         if not fs.exists(folder):
@@ -168,17 +168,24 @@ class RunStore:
 
     def state(self) -> DataFrame | None:
         last = self.last()
-        return self.spark.read.parquet(last["state"]) if last else None
+        return self.spark.read.parquet(last["parts"]["state"]) if last else None
 
     def publish(self, output: DataFrame, state: DataFrame) -> dict:
+        return self.publish_parts({"output": output}, {"state": state})
+
+    def publish_parts(self, outputs: dict[str, DataFrame], state: dict[str, DataFrame], tag: int | None = None) -> dict:
+        """Write several outputs and parts of the state, then commit them together. ``tag`` is kept in the commit."""
         last = self.last()
-        run, tag = (last["run"] + 1 if last else 1), uuid.uuid4().hex[:12]
-        commit = {"run": run, "output": f"{self.path}/runs/{run}-{tag}/output", "state": f"{self.path}/runs/{run}-{tag}/state"}
-        output.write.parquet(commit["output"])
-        state.write.parquet(commit["state"])
+        run = last["run"] + 1 if last else 1
+        folder = f"{self.path}/runs/{run}-{uuid.uuid4().hex[:12]}"
+        commit = {"run": run, "tag": run if tag is None else tag, "outputs": {k: f"{folder}/{k}" for k in outputs}, "parts": {k: f"{folder}/state-{k}" for k in state}}
+        for k, df in outputs.items():
+            df.write.parquet(commit["outputs"][k])
+        for k, df in state.items():
+            df.write.parquet(commit["parts"][k])
         fs, Path = self._fs()
         fs.mkdirs(Path(f"{self.path}/commits"))
-        draft, final = Path(f"{self.path}/runs/{run}-{tag}/commit"), Path(f"{self.path}/commits/{run}.json")
+        draft, final = Path(f"{folder}/commit"), Path(f"{self.path}/commits/{run}.json")
         stream = fs.create(draft, True)
         stream.write(bytearray(json.dumps(commit), "utf-8"))
         stream.close()
