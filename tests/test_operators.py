@@ -59,8 +59,8 @@ def run(spark, parts):
     seen, accepted, rejected = dedup.Seen(), [], {}
     for p in parts:
         r = dedup.accept_once(spark.createDataFrame(p, DELIVERIES), seen, producer=("topic", "part"), seq="seq", arrival="id", exact_key=F.concat_ws("|", F.coalesce("topic", F.lit("?")), F.coalesce(F.col("part").cast("string"), F.lit("?")), F.coalesce(F.col("seq").cast("string"), F.lit("?")), "body"))
-        accepted += [x.first for x in r.arrivals.collect()] if False else [x["first"] for x in r.arrivals.collect()]
-        seen = r.seen
+        accepted += [x["first"] for x in r.arrivals.collect()]
+        seen = r.seen(seen)
     return accepted, seen
 
 

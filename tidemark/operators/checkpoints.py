@@ -10,9 +10,13 @@ APP = ("application_name", "application_id")
 
 
 def latest_states(states: DataFrame) -> DataFrame:
-    """Of the states that one task of one operator saved for one checkpoint the one with the largest id."""
+    """Of the states that one task of one operator saved for one checkpoint the one with the largest id.
+
+    The rows are placed by application and checkpoint, so that all later grouping of one checkpoint happens where they are.
+    """
     keys = (*APP, "job_id", "task_number", "operator_id", "checkpoint_id")
-    newest = states.groupBy(*keys).agg(F.max(F.struct("id", "num_tasks", "completed_checkpoint_id", "handle")).alias("s"))
+    placed = states.select(*keys, "id", "num_tasks", "completed_checkpoint_id", "handle").repartition(*APP, "checkpoint_id")
+    newest = placed.groupBy(*keys).agg(F.max(F.struct("id", "num_tasks", "completed_checkpoint_id", "handle")).alias("s"))
     return newest.select(*keys, "s.num_tasks", "s.completed_checkpoint_id", "s.handle")
 
 
@@ -22,9 +26,9 @@ def restart_points(latest: DataFrame) -> DataFrame:
     A checkpoint is complete if every pair of job and operator that the application has anywhere has rows of ``num_tasks`` tasks in
     it. The newest complete one counts, or, where any of its rows names completed checkpoints (> 0), the oldest of those.
     """
-    pairs = latest.groupBy(*APP).agg(F.count_distinct(F.struct("job_id", "operator_id")).alias("pairs"))
+    pairs = latest.groupBy(*APP, "job_id", "operator_id").agg(F.lit(1).alias("one")).groupBy(*APP).agg(F.count("one").alias("pairs"))
     each = latest.groupBy(*APP, "checkpoint_id", "job_id", "operator_id").agg(
-        F.count_distinct("task_number").alias("tasks"), F.max("num_tasks").alias("num_tasks"), F.min(F.when(F.col("completed_checkpoint_id") > 0, F.col("completed_checkpoint_id"))).alias("back")
+        F.count("task_number").alias("tasks"), F.max("num_tasks").alias("num_tasks"), F.min(F.when(F.col("completed_checkpoint_id") > 0, F.col("completed_checkpoint_id"))).alias("back")
     )
     whole = each.groupBy(*APP, "checkpoint_id").agg(F.count(F.when(F.col("tasks") == F.col("num_tasks"), 1)).alias("complete"), F.min("back").alias("back"))
     done = whole.join(pairs, list(APP)).where((F.col("complete") == F.col("pairs")) & F.col("checkpoint_id").isNotNull())

@@ -7,8 +7,9 @@ ranges, sharded by block of numbers so that a producer with any share of the mes
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,17 +67,34 @@ class Seen:
 
 @dataclass
 class Accepted:
-    """One run's result. ``messages``: (producer, seq, first, copies, covered); ``malformed``: (key, first, copies, covered); ``seen``: the state after it."""
+    """One run's result.
+
+    ``messages``: (producer, seq, first, copies, covered); ``malformed``: (key, first, copies, covered); ``ranges``: the seen ranges after
+    it. The malformed deliveries and the new ranges are computed when they are asked for.
+    """
 
     messages: DataFrame
-    malformed: DataFrame
-    seen: Seen
+    _malformed: Callable[[], DataFrame]
+    _ranges: Callable[[DataFrame], DataFrame]
+
+    @cached_property
+    def malformed(self) -> DataFrame:
+        return self._malformed()
+
+    @cached_property
+    def ranges(self) -> DataFrame:
+        return self._ranges(self.messages)
 
     @property
     def arrivals(self) -> DataFrame:
-        """(arrival): the one delivery of each message and malformed key that is let through."""
+        """(first): the one delivery of each message and malformed key that is let through."""
         return self.messages.where(~F.col("covered")).select("first").unionByName(self.malformed.where(~F.col("covered")).select("first"))
 
+    def seen(self, before: Seen) -> Seen:
+        """The whole state after this run, to be kept for the next."""
+        fresh = self.malformed.where(~F.col("covered")).select("key")
+        return Seen(self.ranges, fresh if before.keys is None else before.keys.unionByName(fresh))
+
 
 def accept_once(deliveries: DataFrame, seen: Seen, *, producer: tuple[str, ...], seq: str, arrival: str, exact_key: Column, copies: str | None = None) -> Accepted:
     """Take one run of deliveries: each number that no seen range covers is accepted once, as its first arrival; then ranges merge.
@@ -86,14 +104,18 @@ def accept_once(deliveries: DataFrame, seen: Seen, *, producer: tuple[str, ...],
     folder, so a lost executor costs a re-read, and so the lineage doesn't grow with the number of runs.
     """
     broken = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in (*producer, seq)))
-    good = deliveries.where(~broken).select(*producer, F.col(seq).cast("bigint").alias(seq), arrival, *([copies] if copies else []))
-    messages = cut(accept(combine_copies(good, producer, seq, arrival, copies), seen.ranges, producer, seq))
-    ranges = cut(merge_ranges(messages.where(~F.col("covered")), seen.ranges, producer, seq))
-    odd = deliveries.where(broken).select(exact_key.alias("key"), arrival, *([copies] if copies else []))
-    odd = combine_copies(odd, ("key",), "key", arrival, copies)
-    malformed = cut(odd.join(seen.keys.withColumn("covered", F.lit(True)), "key", "left").withColumn("covered", F.coalesce("covered", F.lit(False))) if seen.keys is not None else odd.withColumn("covered", F.lit(False)))
-    keys = malformed.where(~F.col("covered")).select("key")
-    return Accepted(messages, malformed, Seen(ranges, keys if seen.keys is None else seen.keys.unionByName(keys)))
+    counts = [copies] if copies else []
+
+    def messages() -> DataFrame:
+        good = deliveries.where(~broken).select(*producer, F.col(seq).cast("bigint").alias(seq), arrival, *counts)
+        return cut(accept(combine_copies(good, producer, seq, arrival, copies), seen.ranges, producer, seq))
+
+    def malformed() -> DataFrame:
+        odd = combine_copies(deliveries.where(broken).select(exact_key.alias("key"), arrival, *counts), ("key",), "key", arrival, copies)
+        known = seen.keys.withColumn("covered", F.lit(True)) if seen.keys is not None else None
+        return cut(odd.withColumn("covered", F.lit(False)) if known is None else odd.join(known, "key", "left").withColumn("covered", F.coalesce("covered", F.lit(False))))
+
+    return Accepted(messages(), malformed, lambda m: cut(merge_ranges(m.where(~F.col("covered")), seen.ranges, producer, seq)))
 
 
 def runs_of(deliveries: DataFrame, batch: str, runs: int) -> list[Column]:

@@ -20,7 +20,7 @@ from tidemark.session import cut
 
 WORD_BITS = 6  # numbers of a word: 64
 LEAF_BITS = 12  # numbers of a leaf: 4096
-FAN_BITS = 6  # children of a node: 64
+FAN_BITS = 8  # children of a node: 256
 
 
 # -- trees -----------------------------------------------------------------------------------------------------------------------

@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 KEPT = ("row_id", "name", "value")
 BY_TASK = late.LateSpec(sources=("task_number",), idle_batches=48)
 PRODUCER = ("topic", "partition")
-RUNS = 4
+RUNS = 2
 
 
 def _classified(spark: SparkSession, d: str, spec: late.LateSpec = late.LateSpec()) -> DataFrame:
@@ -67,7 +67,8 @@ def _words(spark: SparkSession, d: str) -> DataFrame:
 
 def _pending(spark: SparkSession, d: str) -> DataFrame:
     now = _words(spark, d)
-    done = incremental.upto(now, checkpoints.saved_offsets(table(spark, d, "rlink_ck")), PRODUCER, "saved")
+    saved = cut(checkpoints.saved_offsets(table(spark, d, "rlink_ck")))  # a row per partition
+    done = cut(incremental.upto(now, saved, PRODUCER, "saved"))
     return incremental.new_numbers(now, done, PRODUCER, "offset")
 
 
@@ -104,21 +105,28 @@ def p4_per_name(spark: SparkSession, d: str) -> DataFrame:
     return heavy.per_key(table(spark, d, "stream_table")).withColumn("sum_value", F.col("sum_value").cast("bigint"))
 
 
-def _dedup_runs(spark: SparkSession, d: str) -> list[dedup.Accepted]:
-    """All deliveries in consecutive runs, each seeing only the ranges that earlier runs left. Copies are combined per range before the join."""
-    content = ("key", "payload", "timestamp")
+def _dedup_runs(spark: SparkSession, d: str, whole: bool) -> list[dedup.Accepted]:
+    """All deliveries in consecutive runs, each seeing only what earlier runs left. Copies are combined per range before the join.
+
+    Without ``whole`` deliveries without an offset, which need their contents, are left aside.
+    """
     all_rows = table(spark, d, "kafka_message")
-    ranges = table(spark, d, "consumer_range").select("range_id", "topic", "partition")
-    exact = F.sha2(F.concat_ws("|", *(F.coalesce(F.hex(F.col(c)) if c != "timestamp" else F.col(c).cast("string"), F.lit("null")) for c in content)), 256)
+    ranges = table(spark, d, "consumer_range").select("range_id", *PRODUCER)
+    content = F.sha2(F.concat_ws("|", *(F.coalesce(c, F.lit("null")) for c in (F.hex("key"), F.hex("payload"), F.col("timestamp").cast("string")))), 256)
+    place = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in (*PRODUCER, "offset")]
+    per_range = [F.min("delivery_id").alias("delivery_id"), F.count(F.lit(1)).alias("copies")]
     seen, out = dedup.Seen(), []
     for cond in dedup.runs_of(all_rows, "batch_id", RUNS):
         rows = all_rows.where(cond)
-        numbered = rows.where(F.col("offset").isNotNull()).groupBy("range_id", "offset").agg(F.min("delivery_id").alias("delivery_id"), F.count(F.lit(1)).alias("copies"), F.lit(None).cast("string").alias("exact"))
-        odd = rows.where(F.col("offset").isNull()).groupBy("range_id", exact.alias("exact")).agg(F.min("delivery_id").alias("delivery_id"), F.count(F.lit(1)).alias("copies"))
-        parts = numbered.unionByName(odd, allowMissingColumns=True).join(ranges, "range_id", "left")
-        run = dedup.accept_once(parts, seen, producer=PRODUCER, seq="offset", arrival="delivery_id", copies="copies", exact_key=F.sha2(F.concat_ws("|", F.coalesce("topic", F.lit("null")), F.coalesce(F.col("partition").cast("string"), F.lit("null")), F.coalesce(F.col("offset").cast("string"), F.lit("null")), "exact"), 256))
-        seen = run.seen
+        parts = rows.where(F.col("offset").isNotNull()).groupBy("range_id", "offset").agg(*per_range).withColumn("exact", F.lit(None).cast("string"))
+        if whole:
+            odd = rows.where(F.col("offset").isNull()).groupBy("range_id", content.alias("exact")).agg(*per_range)
+            parts = parts.unionByName(odd, allowMissingColumns=True)
+        located = parts.join(ranges, "range_id", "left")
+        run = dedup.accept_once(located, seen, producer=PRODUCER, seq="offset", arrival="delivery_id", copies="copies", exact_key=F.sha2(F.concat_ws("|", *place, "exact"), 256))
         out.append(run)
+        if len(out) < RUNS:
+            seen = run.seen(seen) if whole else dedup.Seen(run.ranges)
     return out
 
 
@@ -130,13 +138,13 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    messages = _union([r.messages for r in _dedup_runs(spark, d)])
+    messages = _union([r.messages for r in _dedup_runs(spark, d, whole=False)])
     return messages.where(F.col("covered") | (F.col("copies") > 1)).select(*PRODUCER, "offset").distinct()
 
 
 def p5_unique(spark: SparkSession, d: str) -> DataFrame:
     """The one delivery of each message that is let through; deliveries without an offset are told apart by their content."""
-    return _union([r.arrivals for r in _dedup_runs(spark, d)]).select(F.col("first").alias("delivery_id"))
+    return _union([r.arrivals for r in _dedup_runs(spark, d, whole=True)]).select(F.col("first").alias("delivery_id"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
