@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,7 +130,6 @@ class Mixer:
 
 def tokenizer_size(path: str) -> Callable[[Column], Column]:
     """Sizes in tokens of a public tokenizer: a .json file for ``tokenizers``, a .model file for ``sentencepiece``. Strings of special tokens are ordinary text."""
-    import pandas as pd
 
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:

@@ -112,7 +112,7 @@ class Sketch:
 
 
 def _groups(keys: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """A group number per row, in order of first appearance of nothing in particular, and one row of each group."""
+    """A group number per row, and one row of each group."""
     gid = np.zeros(keys.num_rows, dtype=np.int64)
     for col in keys.columns:
         enc = col.combine_chunks()
@@ -287,14 +287,20 @@ def _merged(sk: Sketch, cols: list[str], probs: Sequence[float] | None):
 
 
 def _rounds(df: DataFrame, fan_in: int) -> int:
-    """How many rounds of merging keep a task from getting more than about ``fan_in`` states of a group, by the size of the input."""
+    """How many rounds of merging keep a task from getting more than about ``fan_in`` states of a group.
+
+    A group has at most one state per task, so the number of tasks counts: of files by their size, else the partitions there are.
+    """
     spark = df.sparkSession
-    size = float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    per_task = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    return max(1, math.ceil(math.log(max(2.0, size / per_task)) / math.log(fan_in)))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 60:
+        tasks = size / spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    else:  # rows in memory or from a checkpoint, whose size Spark doesn't know
+        tasks = df.rdd.getNumPartitions()
+    return max(1, math.ceil(math.log(max(2.0, tasks)) / math.log(fan_in)))
 
 
-def merge(states: DataFrame, keys: Sequence[str], sk: Sketch = Sketch(), rounds: int = 1, probs: Sequence[float] | None = None, fan_in: int = 256) -> DataFrame:
+def merge(states: DataFrame, keys: Sequence[str], sk: Sketch = Sketch(), rounds: int = 1, probs: Sequence[float] | None = None, fan_in: int = 64) -> DataFrame:
     """One state per group, or its percentiles if ``probs`` are given: (keys, n, exact, p50, ...).
 
     With several rounds the states of a group are first merged under ``fan_in``^k salts, so that a group with states from every
@@ -302,7 +308,7 @@ def merge(states: DataFrame, keys: Sequence[str], sk: Sketch = Sketch(), rounds:
     """
     cols = list(keys)
     for r in range(rounds - 1, 0, -1):
-        salted = states.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(fan_in**r)).cast("int"))
+        salted = states.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(fan_in**r)))
         salted = salted.repartition(*cols, "__salt").sortWithinPartitions(*cols, "__salt")
         fields = _state_fields(salted, [*cols, "__salt"])
         states = salted.mapInArrow(_merged(sk, [*cols, "__salt"], None), T.StructType(fields)).drop("__salt")
@@ -317,4 +323,4 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[
 
     Groups without any value give no row; a group whose values were all taken back has n 0 and null percentiles.
     """
-    return merge(summarise(df, keys, value, weight, sk), keys, sk, _rounds(df, 256), probs)
+    return merge(summarise(df, keys, value, weight, sk), keys, sk, _rounds(df, 64), probs)
