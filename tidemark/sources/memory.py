@@ -36,7 +36,7 @@ class _Reader(DataSourceReader):
         yield from self.rows(partition)
 
 
-def iterator_source(spark: SparkSession, rows: Callable[[Split], Iterator[tuple]], schema: str, parallelism: int = 1, splits: Sequence[dict[str, str]] | None = None, name: str = "tidemark_iterator") -> DataFrame:
+def iterator_source(spark: SparkSession, rows: Callable[[Split], Iterator[tuple]], columns: str, parallelism: int = 1, splits: Sequence[dict[str, str]] | None = None, name: str = "tidemark_iterator") -> DataFrame:
     """Rows from a generator function, one call per split, lazily. ``splits``: each one's properties, if not just numbers; there must be ``parallelism`` of them."""
     props = list(splits) if splits is not None else [{} for _ in range(parallelism)]
     if len(props) != parallelism:
@@ -49,9 +49,9 @@ def iterator_source(spark: SparkSession, rows: Callable[[Split], Iterator[tuple]
             return name
 
         def schema(self) -> str:
-            return schema
+            return columns
 
-        def reader(self, _schema: T.StructType) -> DataSourceReader:
+        def reader(self, schema: T.StructType) -> DataSourceReader:
             return _Reader(rows, planned)
 
     spark.dataSource.register(Source)

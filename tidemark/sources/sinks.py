@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import urllib.request
+from urllib import request as http
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -112,8 +112,8 @@ def bulk_sink(address: str, index: str, kind: str | None = None, headers: dict[s
     def send(rows: Iterator[Any]) -> None:
         def post(held: list[dict]) -> None:
             body = "\n".join(bulk_lines(held, index, kind, id_column)) + "\n"
-            request = urllib.request.Request(f"{address}/_bulk", body.encode(), {"Content-Type": "application/x-ndjson"} | (headers or {}), method="POST")
-            with urllib.request.urlopen(request, timeout=60) as answer:
+            request = http.Request(f"{address}/_bulk", body.encode(), {"Content-Type": "application/x-ndjson"} | (headers or {}), method="POST")
+            with http.urlopen(request, timeout=60) as answer:
                 if json.loads(answer.read() or b"{}").get("errors"):
                     raise RuntimeError("the bulk request has errors")
 

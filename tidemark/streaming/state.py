@@ -36,7 +36,7 @@ class _Lateness(StatefulProcessor):
             if t is not None:
                 latest = max(latest, t)
                 late = t < watermark
-                yield Row(*(row[c] for c in self.columns), late)
+                yield Row(**{c: row[c] for c in self.columns}, late=late)
         self.mark.update((latest, max(watermark, latest - self.delay - 1)))
 
     def close(self) -> None:
@@ -52,7 +52,7 @@ def mark_late_records(df: DataFrame, source: list[str], ts: str, delay: int) ->
 class _Config(StatefulProcessor):
     """Per key: the newest configuration; left rows get it."""
 
-    def __init__(self, left: list[str], config: list[str]):
+    def __init__(self, left: list[str], config: str):
         self.left, self.config = left, config
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -68,7 +68,7 @@ class _Config(StatefulProcessor):
         if value is not None:
             self.newest.update((value,))
         for row in waiting:
-            yield Row(*(row[c] for c in self.left), value)
+            yield Row(**{c: row[c] for c in self.left}, **{self.config: value})
 
     def close(self) -> None:
         pass
@@ -79,7 +79,7 @@ def enrich_evolving(left: DataFrame, config: DataFrame, key: str, value: str) ->
     tagged = left.withColumns({"__right": F.lit(False), "__config": F.lit(None).cast("string")})
     side = config.select(key, F.lit(True).alias("__right"), F.col(value).cast("string").alias("__config"))
     schema = T.StructType([*left.schema.fields, T.StructField(value, T.StringType())])
-    return tagged.unionByName(side, allowMissingColumns=True).groupBy(key).transformWithState(_Config(left.columns, [value]), schema, "Append", "None")
+    return tagged.unionByName(side, allowMissingColumns=True).groupBy(key).transformWithState(_Config(left.columns, value), schema, "Append", "None")
 
 
 class _Fold(StatefulProcessor):
@@ -103,7 +103,7 @@ class _Fold(StatefulProcessor):
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         if self.value.exists():
-            yield Row(*key, *self.value.get())
+            yield Row(**dict(zip(self.keys, key)), **dict(zip(self.acc.names, self.value.get())))
             self.value.clear()
 
     def close(self) -> None:
