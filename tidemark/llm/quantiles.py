@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -276,7 +277,7 @@ def _merged(sk: Sketch, cols: list[str], probs: Sequence[float] | None):
             last = held.slice(held.num_rows - 1).select(cols).to_pylist()[0]
             merged = _from_states(sk, held, cols)
             open_ = pa.array([row == last for row in merged.select(cols).to_pylist()])  # its states may go on in the next batch
-            yield from done(merged.filter(pa.compute.invert(open_)))
+            yield from done(merged.filter(pc.invert(open_)))
             held = merged.filter(open_)
             entries = len(held["cells"].combine_chunks().flatten())
             entries = 0 if entries >= FLUSH else entries
