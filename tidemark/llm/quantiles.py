@@ -47,7 +47,7 @@ class Sketch:
     top_bits: int = 11
     width: int = 512
     depth: int = 7
-    sparse_limit: int = 8192
+    sparse_limit: int = 32768  # about where the counters become fewer than the codes
     seed: int = 1
 
     @property
