@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,6 +157,12 @@ class RunStore:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         return jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(conf), jvm.org.apache.hadoop.fs.Path
 
+    def _rename_new(self, draft, final) -> None:
+        """Rename that fails if the target exists, in one step of the file system."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        none = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+        hadoop.FileContext.getFileContext(final.toUri() if final.toUri().getScheme() else final.getFileSystem(self.spark._jsc.hadoopConfiguration()).getUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, final, none)
+
     def last(self) -> dict | None:
         """The newest commit: its number, tag, and the paths of its outputs and parts of the state; None before the first."""
         fs, Path = self._fs()
@@ -189,8 +196,12 @@ class RunStore:
         stream = fs.create(draft, True)
         stream.write(bytearray(json.dumps(commit), "utf-8"))
         stream.close()
-        if fs.exists(final) or not fs.rename(draft, final):
-            raise RuntimeError(f"run {run} was committed by another writer")
+        try:
+            self._rename_new(draft, final)
+        except Py4JJavaError as e:
+            if not fs.exists(final):
+                raise
+            raise RuntimeError(f"run {run} was committed by another writer") from e
         return commit
 
 

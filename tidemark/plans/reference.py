@@ -11,8 +11,9 @@ from tidemark.functions import aggregates as A
 from tidemark.functions import histogram, scalars, windows
 from tidemark.operators import late
 from tidemark.plans.stream import Stream
-from tidemark.session import table
+from tidemark.session import scratch, table
 from tidemark.sources import kafka, sinks
+from tidemark.streaming import runner
 from tidemark.streaming.watermarks import bounded
 from tidemark.types import CHECKPOINT_DATA, MODEL
 
@@ -388,6 +389,15 @@ def watermark_late_drop_model(spark: SparkSession, d: str) -> DataFrame:
     return out.where((F.col("arrival") != late.UNTIMED) & (F.col("watermark").isNull() | (F.col("timestamp") >= F.col("watermark")))).select("row_id")
 
 
+@query(_hop_sql(_MODEL, "name", _four_sql("value"), DAY, DAY // 2))
+def stream_hop(spark: SparkSession, d: str) -> DataFrame:
+    """The same windows on a stream over the table's files, run to the end of its input."""
+    rows = spark.readStream.schema(table(spark, d, "stream_table").schema).parquet(f"{d}/stream_table.parquet*").select("timestamp", "name", "value")
+    windowed = Stream(rows).assign_timestamps(bounded(1000)).key_by("name").window(windows.hop(DAY, DAY // 2)).reduce(*_four("value"))
+    at = scratch(spark)
+    return runner.drain_complete(windowed.df, f"{at}/result", f"{at}/checkpoint")
+
+
 @query("""SELECT row_id, STRFTIME(MAKE_TIMESTAMP("timestamp" * 1000), '%Y-%m-%d %H:%M:%S') AS at, STRFTIME(MAKE_TIMESTAMP("timestamp" * 1000) + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS at_cst, "timestamp" - "timestamp" % 60000 AS minute FROM stream_table""")
 def scalar_ms_format(spark: SparkSession, d: str) -> DataFrame:
     ts = F.col("timestamp")

@@ -28,3 +28,18 @@ def drain(df: DataFrame, name: str, checkpoint: str | None = None, mode: str = "
     query = writer.start()
     query.awaitTermination()
     return df.sparkSession.table(name)
+
+
+def drain_complete(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run a streaming aggregation until its input is used up and return all its groups, closed or not, as a written table.
+
+    Each micro-batch writes the whole result under its number; the last one written counts.
+    """
+    last: list[str] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+        last[:] = [f"{path}/{number}"]
+
+    df.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.parquet(last[0]) if last else df.sparkSession.createDataFrame([], df.schema)
