@@ -69,7 +69,8 @@ def changed_leaves(now: DataFrame, saved: DataFrame, spaces: tuple[str, ...], le
             sides.append(side)
         both = _meet(sides[0], sides[1], spaces, "node = r_node", "full_outer")
         in_now = F.col("node").isNotNull()
-        frontier = both.where(~F.col("digest").eqNullSafe(F.col("r_digest"))).select(*(F.when(in_now, F.col(c)).otherwise(F.col(f"r_{c}")).alias(c) for c in (*spaces, "node")))
+        differing = both.where(~F.col("digest").eqNullSafe(F.col("r_digest"))).select(*(F.when(in_now, F.col(c)).otherwise(F.col(f"r_{c}")).alias(c) for c in (*spaces, "node")))
+        frontier = cut(differing) if level else differing  # both sides of the next level read it
     return frontier
 
 
