@@ -11,7 +11,7 @@ Items are the stated query set, met by every document; they are broadcast only a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.text import words
@@ -38,17 +38,21 @@ def _document_shingles(docs: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def item_windows(items: DataFrame, item: str, text: str, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """(item, start, window, k, h, size): of every window of every item each shingle, at offset k. Items without words have none."""
+    """(wid, item, start, window, size): every window of every item under an id of its own, with the size of its shingles. Items without words have none."""
     w = items.select(F.col(item).alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
     n = F.size("w")
     length = F.least(F.lit(window), n)
     starts = w.select("item", "w", length.alias("len"), F.explode(F.sequence(F.lit(0), n - length)).alias("start"))
-    cut_out = starts.select("item", "start", F.slice("w", F.col("start") + 1, F.col("len")).alias("window"), F.least(F.lit(shingle), F.col("len")).alias("size"))
-    spots = cut_out.select("*", F.explode(F.sequence(F.lit(0), F.size("window") - F.col("size"))).alias("k"))
+    return starts.select(F.monotonically_increasing_id().alias("wid"), "item", "start", F.slice("w", F.col("start") + 1, F.col("len")).alias("window"), F.least(F.lit(shingle), F.col("len")).alias("size"))
+
+
+def window_shingles(windows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(wid, of, k, h): each shingle of a window, at offset k, of ``of`` there are."""
+    spots = windows.select("wid", "window", "size", F.explode(F.sequence(F.lit(0), F.size("window") - F.col("size"))).alias("k"))
     h = F.lit(None).cast("bigint")
-    for k in range(1, shingle + 1):
-        h = F.when(F.col("size") == k, _shingle_at(F.col("window"), F.col("k"), k)).otherwise(h)
-    return spots.withColumn("h", h)
+    for n in range(1, shingle + 1):
+        h = F.when(F.col("size") == n, _shingle_at(F.col("window"), F.col("k"), n)).otherwise(h)
+    return spots.select("wid", (F.size("window") - F.col("size") + 1).alias("of"), "k", h.alias("h"))
 
 
 def matched_windows(documents: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, max_broadcast_rows: int = 200_000) -> DataFrame:
@@ -57,18 +61,17 @@ def matched_windows(documents: DataFrame, items: DataFrame, *, doc: str = "doc_i
     Words are runs of letters and digits in lower case. Null and empty texts contain nothing; an item without words is in no
     document. Whole texts are read. Equal document ids count as one document each time they occur; equal item ids are one item.
     """
-    sides = cut(item_windows(items, item, item_text, window, shingle))
-    sizes = [r[0] for r in sides.select("size").distinct().orderBy("size").collect()]  # at most ``shingle`` different
+    windows = cut(item_windows(items, item, item_text, window, shingle))
+    sizes = [r[0] for r in windows.select("size").distinct().orderBy("size").collect()]  # at most ``shingle`` different
     docs = documents.select(F.col(doc).alias("doc"), words(F.col(text)).alias("words"))
     if not sizes:
-        return docs.join(sides, F.lit(False)).select("doc", "item", "start")
-    known = broadcast_within(cut(sides.select("h").distinct()), max_broadcast_rows)
+        return docs.join(windows, F.lit(False)).select("doc", "item", "start")
+    shingles = cut(window_shingles(windows, shingle))
+    known = broadcast_within(cut(shingles.select("h").distinct()), max_broadcast_rows)
     counted = _document_shingles(docs, sizes).select("h").join(known, "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("times"))
-    ranked = sides.join(cut(counted), "h")  # a shingle that is nowhere in the corpus: its windows are in no document
-    per_window = Window.partitionBy("item", "start", "window")
-    whole = ranked.withColumn("present", F.count(F.lit(1)).over(per_window)).where(F.col("present") == F.size("window") - F.col("size") + 1)
-    rarest = whole.withColumn("rank", F.row_number().over(per_window.orderBy("times", "h", "k"))).where(F.col("rank") == 1)
-    prefix = cut(rarest.select("h", "item", "start", "window", "k").distinct())
+    # a shingle that is nowhere in the corpus: its windows are in no document
+    rarest = shingles.join(cut(counted), "h").groupBy("wid").agg(F.count(F.lit(1)).alias("present"), F.max("of").alias("of"), F.min(F.struct("times", "h", "k")).alias("r"))
+    prefix = cut(rarest.where(F.col("present") == F.col("of")).join(windows, "wid").select("r.h", "r.k", "item", "start", "window"))
     small = prefix.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
     spots = _document_shingles(docs, sizes)
     if small:
