@@ -1,7 +1,7 @@
 """Corrected windows on a live stream: each micro-batch publishes the windows it fired or changed, together with its state.
 
-State is what :mod:`tidemark.operators.late` computes over history: the latest time per group, and the partial aggregates of windows that
-can still change. It is committed with the output by a :class:`~tidemark.operators.incremental.RunStore`, once per batch: a batch that is
+State is what :mod:`tidemark.operators.late` computes over history: the latest time and batch per source, the low mark per group, and the
+partial aggregates of windows that can still change. It is committed with the output by a :class:`~tidemark.operators.incremental.RunStore`, once per batch: a batch that is
 repeated after a failure finds its commit and does nothing.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.incremental import RunStore
-from tidemark.operators.late import DIVERTED, LATE, ON_TIME, LateSpec
+from tidemark.operators.late import DIVERTED, LATE, ON_TIME, UNTIMED, LateSpec
 from tidemark.session import broadcast_within, cut
 
 
@@ -28,8 +28,20 @@ class CorrectedStream:
     value: str = "value"
     spec: LateSpec = LateSpec()
 
+    def _low(self, marks: DataFrame, held: DataFrame, batch_id: int) -> DataFrame:
+        """(group, mark): the low mark before ``batch_id``, the smallest of the sources that aren't idle, and never below ``held``.
+
+        Where all are idle, those seen last count: theirs is the low mark that held before they fell idle.
+        """
+        g, active = self.spec.group, marks
+        if self.spec.idle_batches is not None:
+            newest = marks.groupBy(g).agg(F.max("seen").alias("newest"))
+            active = marks.join(newest, g).where(F.col("seen") >= F.least(F.lit(batch_id - self.spec.idle_batches), F.col("newest")))
+        return held.unionByName(active.groupBy(g).agg(F.min("mark").alias("mark"))).groupBy(g).agg(F.max("mark").alias("mark"))
+
     def take(self, batch: DataFrame, batch_id: int) -> dict | None:
-        """Process one micro-batch; None if it was committed before. Output: the changed windows' new values, and ``fired``.
+        """Process one micro-batch; None if it was committed before. Outputs: ``output``, the changed windows' new values; ``diverted``,
+        the rows beyond the allowance; ``untimed``, those with a null time or group or of a group without limits.
 
         A window fires in the batch after which its group's watermark first reaches its end; later changes are corrections.
         """
@@ -39,30 +51,40 @@ class CorrectedStream:
         g, state = spec.group, {k: self.store.spark.read.parquet(p) for k, p in last["parts"].items()} if last else {}
         lim = self.limits.select(g, *(F.col(c).cast("bigint").alias(f"__{k}") for k, c in (("delay", spec.delay), ("size", spec.size), ("late", spec.lateness))))
         lim = broadcast_within(lim, spec.max_broadcast_rows)
-        timed = batch.where(F.col(spec.ts).isNotNull() & F.col(g).isNotNull()).select(*dict.fromkeys([*self.keys, spec.ts, self.value])).withColumn("__ts", F.col(spec.ts).cast("bigint"))
-        old = state.get("marks", timed.select(g, F.col("__ts").alias("mark")).limit(0))
-        marks = cut(old.unionByName(timed.groupBy(g).agg(F.max("__ts").alias("mark"))).groupBy(g).agg(F.max("mark").alias("mark")))
-        rows = timed.join(lim, g).join(broadcast_within(old.withColumnRenamed("mark", "__mark"), spec.max_broadcast_rows), g, "left")
+        source, cols = [g, *spec.sources], dict.fromkeys([*self.keys, spec.ts, self.value])
+        taken = batch.select(*dict.fromkeys([*cols, *spec.sources])).withColumn("__ts", F.col(spec.ts).cast("bigint"))
+        timed = taken.where(F.col("__ts").isNotNull() & F.col(g).isNotNull())
+        fresh_marks = timed.groupBy(*source).agg(F.max("__ts").alias("mark")).withColumn("seen", F.lit(batch_id).cast("bigint"))
+        old = state.get("marks", fresh_marks.limit(0))
+        held = state.get("low", fresh_marks.select(g, "mark").limit(0))
+        before = cut(self._low(old, held, batch_id))
+        marks = cut(old.unionByName(fresh_marks).groupBy(*source).agg(F.max("mark").alias("mark"), F.max("seen").alias("seen")))
+        low = cut(self._low(marks, before, batch_id + 1))
+        rows = taken.join(lim, g, "left").join(broadcast_within(before.withColumnRenamed("mark", "__mark"), spec.max_broadcast_rows), g, "left")
         start = F.col("__ts") - F.pmod(F.col("__ts"), F.col("__size"))
         wm = F.col("__mark") - F.col("__delay") - 1
         rows = rows.withColumns({"window_start": start, "window_end": start + F.col("__size")})
-        rows = rows.withColumn("arrival", F.when(wm.isNull() | (F.col("window_end") > wm), ON_TIME).when(F.col("window_end") + F.col("__late") > wm, LATE).otherwise(DIVERTED))
+        rows = rows.withColumn("arrival", F.when(F.col("window_end").isNull(), UNTIMED).when(wm.isNull() | (F.col("window_end") > wm), ON_TIME).when(F.col("window_end") + F.col("__late") > wm, LATE).otherwise(DIVERTED))
         by, v = [*self.keys, "window_start", "window_end"], F.col(self.value).cast("bigint")
-        fresh = rows.where(F.col("arrival") != DIVERTED).groupBy(*by).agg(
+        fresh = rows.where(F.col("arrival").isin(ON_TIME, LATE)).groupBy(*by).agg(
             F.sum(v).alias("sum_value"), F.max(v).alias("max_value"), F.min(v).alias("min_value"), F.count(F.lit(1)).alias("row_count"), F.max((F.col("arrival") == LATE).cast("int")).alias("late")
         ).withColumn("changed", F.lit(True))
         open_ = state["windows"].withColumn("changed", F.lit(False)).withColumn("late", F.lit(0)) if "windows" in state else fresh.limit(0).withColumn("fired", F.lit(False))
         both = open_.unionByName(fresh.withColumn("fired", F.lit(False))).groupBy(*by).agg(
             *(f(c).alias(c) for c, f in (("sum_value", F.sum), ("max_value", F.max), ("min_value", F.min), ("row_count", F.sum))), F.max("changed").alias("changed"), F.max("fired").alias("was"), F.max("late").alias("late")
         )
-        now = both.join(lim, g).join(broadcast_within(marks, spec.max_broadcast_rows), g)
+        now = both.join(lim, g).join(broadcast_within(low, spec.max_broadcast_rows), g)
         reached = F.col("mark") - F.col("__delay") - 1
-        judged = cut(now.withColumns({"fired": reached >= F.col("window_end"), "over": reached >= F.col("window_end") + F.col("__late")}))
+        fired = F.coalesce(reached >= F.col("window_end"), F.lit(False))
+        judged = cut(now.withColumns({"fired": fired, "over": F.coalesce(reached >= F.col("window_end") + F.col("__late"), fired)}))
         emitted = judged.where((F.col("fired") & ~F.col("was")) | (F.col("fired") & F.col("changed")))
-        cols = [*by, "sum_value", "max_value", "min_value", "row_count"]
-        output = emitted.select(*cols, F.col("was").alias("correction"), F.lit(batch_id).cast("bigint").alias("batch"))
-        diverted = rows.where(F.col("arrival") == DIVERTED).select(*self.keys, spec.ts, self.value)
-        return self.store.publish_parts({"output": output, "diverted": diverted}, {"marks": marks, "windows": judged.where(~F.col("over")).select(*cols, "fired")}, tag=batch_id)
+        kept = [*by, "sum_value", "max_value", "min_value", "row_count"]
+        outputs = {
+            "output": emitted.select(*kept, F.col("was").alias("correction"), F.lit(batch_id).cast("bigint").alias("batch")),
+            "diverted": rows.where(F.col("arrival") == DIVERTED).select(*cols),
+            "untimed": rows.where(F.col("arrival") == UNTIMED).select(*cols),
+        }
+        return self.store.publish_parts(outputs, {"marks": marks, "low": low, "windows": judged.where(~F.col("over")).select(*kept, "fired")}, tag=batch_id)
 
     def flush(self, batch_id: int) -> DataFrame:
         """At the end of the input: the windows that are still open and have not fired."""
