@@ -6,6 +6,7 @@ import pytest
 
 from tidemark.operators import late
 from tidemark.operators.incremental import RunStore
+from tidemark.plans import general
 from tidemark.streaming.corrections import CorrectedStream
 
 SCHEMA = "row_id bigint, timestamp bigint, name string, value bigint, job_id int, task_number int, batch_id bigint"
@@ -76,3 +77,24 @@ def test_corrected_stream_keeps_marks_by_source(spark, tmp_path, idle):
     assert {k: sorted(ids) for k, ids in out.items()} == {k: sorted(i for i, a in want.items() if a == k) for k in out}
     assert all(out.values())
     assert final == expected
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("idle", [None, 1])
+def test_low_watermarks_never_fall(spark, seed, idle):
+    data = uneven(seed)
+    spec = late.LateSpec(sources=("task_number",), idle_batches=idle, monotone=True)
+    got = {r.row_id: r.arrival for r in late.classify(spark.createDataFrame(data, SCHEMA), spark.createDataFrame([(k, *v) for k, v in LIM.items()], LIMITS), spec).collect()}
+    assert got == model(data, idle)
+
+
+def test_an_idle_or_returning_source_reopens_nothing(spark):
+    rows = [(0, 100, 0, 0), (1, 200, 1, 0), (2, 100, 0, 3), (3, 100, 0, 5), (4, 10, 0, 9), (5, 10, 2, 4)]  # row, time, task, batch
+    data = [(i, t, "a", 1, 2, task, b) for i, t, task, b in rows]
+    spec = late.LateSpec(sources=("task_number",), idle_batches=1, monotone=True)
+    got = {r.row_id: r.arrival for r in late.classify(spark.createDataFrame(data, SCHEMA), spark.createDataFrame([(2, 0, 7, 3)], LIMITS), spec).collect()}
+    assert got == {0: late.ON_TIME, 1: late.ON_TIME, 2: late.ON_TIME, 3: late.ON_TIME, 4: late.DIVERTED, 5: late.DIVERTED}
+
+
+def test_the_registered_query_keeps_its_low_mark():
+    assert general.BY_TASK.monotone

@@ -1,7 +1,8 @@
 """Late and out-of-order events: per-source low watermarks, closed periods, corrections and a lateness cut-off.
 
 Rows arrive in batches. A source's mark before batch b is the largest event time it showed in batches before b; the low watermark of
-a group before b is the smallest mark of its sources, less the group's bound on disorder, less 1. A period [start, end) closes once
+a group before b is the smallest mark of its sources, less the group's bound on disorder, less 1; with ``monotone`` never below what it
+was before an earlier batch. A period [start, end) closes once
 the watermark reaches its end. A row of a closed period corrects it while end + allowance > watermark; later rows are diverted.
 
 The marks are pre-aggregated to one row per group, source and batch ("punctuations"), so nothing is sorted by arrival over raw rows.
@@ -25,7 +26,9 @@ class LateSpec:
     """Column names and idle timeout.
 
     ``sources``: columns that tell apart the sources of a group; none makes each group one source. ``idle_batches``: a source
-    without a timed row in so many batches no longer holds the watermark back (None: it always does).
+    without a timed row in so many batches no longer holds the watermark back (None: it always does). ``monotone``: with several
+    sources the low mark never falls, so a closed period stays closed when a source returns or first appears behind it, or when all
+    are idle; without it each batch has the plain smallest mark of the sources that are not idle, and none where all are.
     """
 
     group: str = "job_id"
@@ -36,6 +39,7 @@ class LateSpec:
     size: str = "window_size_millis"
     lateness: str = "allowed_lateness_millis"
     idle_batches: int | None = None
+    monotone: bool = False
     max_broadcast_rows: int = 500_000
 
 
@@ -65,7 +69,13 @@ def low_watermarks(marks: DataFrame, spec: LateSpec = LateSpec()) -> DataFrame:
         until = F.least(until, F.col(spec.batch) + F.lit(spec.idle_batches))
     steps = marks.select(spec.group, spec.batch, F.max("mark").over(by_source.rowsBetween(Window.unboundedPreceding, 0)).alias("mark"), until.alias("__until"))
     holds = steps.where(F.col("__until") > F.col(spec.batch)).select(spec.group, F.explode(F.sequence(F.col(spec.batch) + 1, F.col("__until"))).alias(spec.batch), "mark")
-    return holds.groupBy(spec.group, spec.batch).agg(F.min("mark").alias("mark"))
+    lows = holds.groupBy(spec.group, spec.batch).agg(F.min("mark").alias("mark"))
+    if not spec.monotone:
+        return lows
+    by_group = Window.partitionBy(spec.group).orderBy(spec.batch)
+    until = F.coalesce(F.lead(spec.batch).over(by_group) - 1, F.lit(last))
+    kept = lows.select(spec.group, spec.batch, F.max("mark").over(by_group.rowsBetween(Window.unboundedPreceding, 0)).alias("mark"), until.alias("__until"))
+    return kept.select(spec.group, F.explode(F.sequence(F.col(spec.batch), F.col("__until"))).alias(spec.batch), "mark")
 
 
 def classify(rows: DataFrame, limits: DataFrame, spec: LateSpec = LateSpec(), keep: tuple[str, ...] = ("row_id",)) -> DataFrame:

@@ -13,7 +13,7 @@ from tidemark.session import cut, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 KEPT = ("row_id", "name", "value")
-BY_TASK = late.LateSpec(sources=("task_number",), idle_batches=48)
+BY_TASK = late.LateSpec(sources=("task_number",), idle_batches=48, monotone=True)
 PRODUCER = ("topic", "partition")
 RUNS = 2
 
