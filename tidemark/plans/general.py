@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 KEPT = ("row_id", "name", "value")
 BY_TASK = late.LateSpec(sources=("task_number",), idle_batches=48, monotone=True)
 PRODUCER = ("topic", "partition")
-RUNS = 2
+RUNS = 4
 
 
 def _classified(spark: SparkSession, d: str, spec: late.LateSpec = late.LateSpec()) -> DataFrame:
@@ -105,11 +105,8 @@ def p4_per_name(spark: SparkSession, d: str) -> DataFrame:
     return heavy.per_key(table(spark, d, "stream_table")).withColumn("sum_value", F.col("sum_value").cast("bigint"))
 
 
-def _dedup_runs(spark: SparkSession, d: str, whole: bool) -> list[dedup.Accepted]:
-    """All deliveries in consecutive runs, each seeing only what earlier runs left. Copies are combined per range before the join.
-
-    Without ``whole`` deliveries without an offset, which need their contents, are left aside.
-    """
+def _dedup_runs(spark: SparkSession, d: str) -> list[dedup.Accepted]:
+    """All deliveries in consecutive runs, each seeing only what earlier runs left; the last, too, leaves its state. Copies are combined per range before the join."""
     all_rows = table(spark, d, "kafka_message")
     ranges = table(spark, d, "consumer_range").select("range_id", *PRODUCER)
     content = F.sha2(F.concat_ws("|", *(F.coalesce(c, F.lit("null")) for c in (F.hex("key"), F.hex("payload"), F.col("timestamp").cast("string")))), 256)
@@ -119,14 +116,11 @@ def _dedup_runs(spark: SparkSession, d: str, whole: bool) -> list[dedup.Accepted
     for cond in dedup.runs_of(all_rows, "batch_id", RUNS):
         rows = all_rows.where(cond)
         parts = rows.where(F.col("offset").isNotNull()).groupBy("range_id", "offset").agg(*per_range).withColumn("exact", F.lit(None).cast("string"))
-        if whole:
-            odd = rows.where(F.col("offset").isNull()).groupBy("range_id", content.alias("exact")).agg(*per_range)
-            parts = parts.unionByName(odd, allowMissingColumns=True)
-        located = parts.join(ranges, "range_id", "left")
+        odd = rows.where(F.col("offset").isNull()).groupBy("range_id", content.alias("exact")).agg(*per_range)
+        located = parts.unionByName(odd, allowMissingColumns=True).join(ranges, "range_id", "left")
         run = dedup.accept_once(located, seen, producer=PRODUCER, seq="offset", arrival="delivery_id", copies="copies", exact_key=F.sha2(F.concat_ws("|", *place, "exact"), 256))
         out.append(run)
-        if len(out) < RUNS:
-            seen = run.seen(seen) if whole else dedup.Seen(run.ranges)
+        seen = run.seen(seen)
     return out
 
 
@@ -138,13 +132,13 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    messages = _union([r.messages for r in _dedup_runs(spark, d, whole=False)])
+    messages = _union([r.messages for r in _dedup_runs(spark, d)])
     return messages.where(F.col("covered") | (F.col("copies") > 1)).select(*PRODUCER, "offset").distinct()
 
 
 def p5_unique(spark: SparkSession, d: str) -> DataFrame:
     """The one delivery of each message that is let through; deliveries without an offset are told apart by their content."""
-    return _union([r.arrivals for r in _dedup_runs(spark, d, whole=True)]).select(F.col("first").alias("delivery_id"))
+    return _union([r.arrivals for r in _dedup_runs(spark, d)]).select(F.col("first").alias("delivery_id"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
