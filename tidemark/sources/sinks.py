@@ -25,16 +25,26 @@ def print_line(df: DataFrame) -> Column:
     return F.concat_ws(", ", *parts)
 
 
-def print_sink(rows: int = 20, checkpoint: str | None = None) -> Sink:
+def print_sink(rows: int | None = None, checkpoint: str | None = None) -> Sink:
+    """Every row as a line, a partition at a time on the driver. ``rows`` gives a preview instead: so many rows of the table or of each micro-batch."""
+
     def to(df: DataFrame) -> Any:
         lines = df.select(print_line(df).alias(", ".join(df.columns)))
-        if not df.isStreaming:
-            return lines.show(rows, truncate=False)
-        return _options(lines.writeStream.format("console").option("truncate", "false").option("numRows", rows), checkpoint).start()
+        if df.isStreaming and rows is None:
+            return _options(lines.writeStream.foreachBatch(lambda batch, _: _print_all(batch)), checkpoint).start()
+        if df.isStreaming:
+            return _options(lines.writeStream.format("console").option("truncate", "false").option("numRows", rows), checkpoint).start()
+        return _print_all(lines) if rows is None else lines.show(rows, truncate=False)
 
     return to
 
 
+def _print_all(lines: DataFrame) -> None:
+    print(lines.columns[0])
+    for line in lines.toLocalIterator():
+        print(line[0])
+
+
 def memory_sink(name: str, mode: str = "append", **trigger: Any) -> Sink:
     """A table in the session, for tests."""
 
