@@ -78,3 +78,14 @@ def test_empty_table_and_very_long_text(spark):
     long = " ".join(f"w{i}" for i in range(200_000))
     r = rep.measure(spark.createDataFrame([(1, long + " " + long)], DOCS)).first()
     assert (r.n_words, r.repeated_words) == (400_000, 200_000)
+
+
+def test_digits_are_numbers_of_every_kind(spark):
+    """Garbled letters such as "Ã¼" hold a ¼ that belongs to its word; a page of the large tables was lost while it split one."""
+    t = "fÃ¼r die wÃ¼rde x² y½z _a_ 7٣ Ⅷ"
+    r = rep.measure(spark.createDataFrame([(1, t)], DOCS)).first()
+    assert r.n_words == 8
+    run = "eins zwei drei vier fÃ¼nf sechs sieben acht"
+    text = " ".join([run, *(f"wÃ¼{i}" for i in range(22)), run])  # 8 of 38 words are repeated; 8 of 62 pieces if each ¼ splits
+    r = rep.measure(spark.createDataFrame([(1, text)], DOCS)).first()
+    assert (r.n_words, r.repeated_words) == (38, 8)

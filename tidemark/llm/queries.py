@@ -93,7 +93,7 @@ def p9_quality(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_percentiles, p1_merged_days, p1_within_bound, p7_found, p7_coverage, p8_found, p8_sizes, p8_plan, p8_mix, p8_reached, p9_found, p9_shares, p9_quality)}
 
-_WORDS = r"REGEXP_EXTRACT_ALL(LOWER(text), '[\p{L}\p{Nd}]+')"
+_WORDS = r"REGEXP_EXTRACT_ALL(LOWER(text), '[\p{L}\p{N}]+')"
 _SPACE = r"\x{09}-\x{0D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 _RANKED = """
@@ -116,7 +116,7 @@ pairs AS (SELECT d.doc_id, i.item_id, COUNT(*) AS windows FROM doc_windows d JOI
 """
 
 _SIZES = rf"""
-sized AS (SELECT LOWER(REGEXP_REPLACE(source, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')) AS source, LEN(REGEXP_EXTRACT_ALL(COALESCE(text, ''), '[\p{{L}}\p{{Nd}}]+|[^\p{{L}}\p{{Nd}}{_SPACE}]')) AS size FROM documents),
+sized AS (SELECT LOWER(REGEXP_REPLACE(source, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')) AS source, LEN(REGEXP_EXTRACT_ALL(COALESCE(text, ''), '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}{_SPACE}]')) AS size FROM documents),
 got AS (SELECT m.source, m.target_share, m.max_repeats, CAST(COALESCE(SUM(size), 0) AS BIGINT) AS available FROM mix_target m LEFT JOIN sized s ON m.source = s.source GROUP BY ALL),
 judged AS (SELECT source, available, target_share * (SELECT SUM(available) FROM got) > max_repeats * available AS short FROM got)
 """

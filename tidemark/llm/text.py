@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A word: the longest run of Unicode letters and digits.
-WORD = r"[\p{L}\p{Nd}]+"
+#: A word: the longest run of Unicode letters and digits, digits being numbers of every kind (decimal, letter-like and others such as ² and ¼).
+WORD = r"[\p{L}\p{N}]+"
 #: A unit of size: a word, or one other character that is not white space.
-UNIT = r"[\p{L}\p{Nd}]+|[^\p{L}\p{Nd}\p{IsWhite_Space}]"
+UNIT = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\p{IsWhite_Space}]"
 
 
 def words(text: Column) -> Column:
