@@ -36,6 +36,17 @@ class Agg:
             if not is_numeric(kind):
                 raise TypeError(f"{self.output}: {kind.simpleString()} can't be aggregated")
 
+    def type(self, schema: T.StructType) -> T.DataType:
+        """The result's type: that of the column, sums widened unless ``same_type``; counts are LONG."""
+        if self.kind == "count":
+            return T.LongType()
+        kind = schema[self.column].dataType
+        if self.kind != "sum" or self.same_type:
+            return kind
+        if isinstance(kind, T.IntegralType):
+            return T.LongType()
+        return T.DecimalType(min(38, kind.precision + 10), kind.scale) if isinstance(kind, T.DecimalType) else T.DoubleType()
+
     def partial(self) -> Column:
         if self.kind == "count":
             return F.count(F.lit(1))

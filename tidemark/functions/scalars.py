@@ -14,6 +14,16 @@ DATE_TIME = "yyyy-MM-dd HH:mm:ss"
 DATE_TIME_MILLIS = "yyyy-MM-dd'T'HH:mm:ss.SSS"
 
 
+def current_timestamp_millis() -> Column:
+    """Now in epoch milliseconds; the same for all rows of a query or micro-batch."""
+    return F.unix_millis(F.current_timestamp())
+
+
+def current_timestamp() -> Column:
+    """Now in epoch seconds."""
+    return F.unix_seconds(F.current_timestamp())
+
+
 def timestamp_of(ms: Column) -> Column:
     return F.timestamp_millis(ms)
 

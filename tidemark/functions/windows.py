@@ -32,23 +32,26 @@ class Hop:
         """The latest window start at or before ``ts``."""
         return ts - F.pmod(ts - F.lit(self.offset), F.lit(self.slide).cast("bigint"))
 
-    def starts(self, ts: Column) -> Column:
-        """The starts of all windows that hold ``ts``, as array<bigint>, earliest first."""
-        last = self.last_start(ts)
-        n = -(-self.size // self.slide)
-        each = F.array(*(last - F.lit(k * self.slide) for k in range(n - 1, -1, -1)))
-        return F.filter(each, lambda s: (s >= 0) & (s + self.size > ts) & (s <= ts))
-
-    def pane_starts(self, pane: Column) -> Column:
-        """The starts of the windows that a pane (the start of a slide) belongs to."""
-        return F.filter(F.array(*(pane - F.lit(k * self.slide) for k in range(self.shared - 1, -1, -1))), lambda s: s >= 0)
+    @property
+    def candidates(self) -> int:
+        """The most windows that can hold one time."""
+        return -(-self.size // self.slide)
 
     def column(self, ts: Column) -> Column:
-        """Spark's own window column, for streams: ``ts`` is a TIMESTAMP."""
-        if self.slide > self.size:
-            raise ValueError("streams can't have windows with gaps")
+        """Spark's own window column, for streams: ``ts`` is a TIMESTAMP. With gaps it is the whole slide; the rows of a gap are filtered out before."""
         ms = lambda n: f"{n} milliseconds"
-        return F.window(ts, ms(self.size), ms(self.slide), ms(self.offset))
+        return F.window(ts, ms(max(self.size, self.slide)), ms(self.slide), ms(self.offset))
+
+    def starts(self, ts: Column) -> Column:
+        """The starts of the ``candidates`` latest windows that begin by ``ts``, as array<bigint>, earliest first: to be exploded and
+        kept where :meth:`holds`. No lambda, so that both steps stay within generated code."""
+        last = self.last_start(ts)
+        return F.array(*(last - F.lit(k * self.slide) for k in range(self.candidates - 1, -1, -1)))
+
+    def holds(self, start: Column, ts: Column) -> Column:
+        """Whether the window that begins at ``start``, one of :meth:`starts`, counts and holds ``ts``."""
+        keep = start >= 0
+        return keep if self.shared else keep & (start + self.size > ts)
 
 
 def hop(size: int, slide: int, offset: int = 0) -> Hop:

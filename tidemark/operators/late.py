@@ -61,21 +61,23 @@ def low_watermarks(marks: DataFrame, spec: LateSpec = LateSpec()) -> DataFrame:
     if not spec.sources:
         before = F.max("mark").over(by_source.rowsBetween(Window.unboundedPreceding, -1))
         return marks.select(spec.group, spec.batch, before.alias("mark")).where(F.col("mark").isNotNull())
-    last = marks.agg(F.max(spec.batch)).first()[0]
-    if last is None:
-        return marks.select(spec.group, spec.batch, "mark")
-    until = F.coalesce(F.lead(spec.batch).over(by_source), F.lit(last))
+    # batches that exist, numbered 0, 1, ... within their group, so that a mark holds over a stretch of those, whatever their ids
+    by_group = Window.partitionBy(spec.group).orderBy(spec.batch)
+    batches = marks.select(spec.group, spec.batch).distinct().withColumn("__at", F.row_number().over(by_group) - 1)
+    ends = batches.groupBy(spec.group).agg(F.max("__at").alias("__last"))
+    own = marks.join(batches, [spec.group, spec.batch]).join(ends, spec.group)
+    until = F.coalesce(F.lead("__at").over(by_source), F.col("__last"))
+    steps = own.select(spec.group, F.col(spec.batch).alias("__seen"), "__at", F.max("mark").over(by_source.rowsBetween(Window.unboundedPreceding, 0)).alias("mark"), until.alias("__until"))
+    holds = steps.where(F.col("__until") > F.col("__at")).select(spec.group, "__seen", "mark", F.explode(F.sequence(F.col("__at") + 1, F.col("__until"))).alias("__at"))
+    met = holds.join(batches, [spec.group, "__at"])
     if spec.idle_batches is not None:
-        until = F.least(until, F.col(spec.batch) + F.lit(spec.idle_batches))
-    steps = marks.select(spec.group, spec.batch, F.max("mark").over(by_source.rowsBetween(Window.unboundedPreceding, 0)).alias("mark"), until.alias("__until"))
-    holds = steps.where(F.col("__until") > F.col(spec.batch)).select(spec.group, F.explode(F.sequence(F.col(spec.batch) + 1, F.col("__until"))).alias(spec.batch), "mark")
-    lows = holds.groupBy(spec.group, spec.batch).agg(F.min("mark").alias("mark"))
+        met = met.where(F.col(spec.batch) - F.col("__seen") <= spec.idle_batches)
+    lows = met.groupBy(spec.group, spec.batch).agg(F.min("mark").alias("mark"))
     if not spec.monotone:
         return lows
-    by_group = Window.partitionBy(spec.group).orderBy(spec.batch)
-    until = F.coalesce(F.lead(spec.batch).over(by_group) - 1, F.lit(last))
-    kept = lows.select(spec.group, spec.batch, F.max("mark").over(by_group.rowsBetween(Window.unboundedPreceding, 0)).alias("mark"), until.alias("__until"))
-    return kept.select(spec.group, F.explode(F.sequence(F.col(spec.batch), F.col("__until"))).alias(spec.batch), "mark")
+    carried = F.max("mark").over(by_group.rowsBetween(Window.unboundedPreceding, 0))
+    every = batches.join(lows, [spec.group, spec.batch], "left")
+    return every.select(spec.group, spec.batch, carried.alias("mark")).where(F.col("mark").isNotNull())
 
 
 def classify(rows: DataFrame, limits: DataFrame, spec: LateSpec = LateSpec(), keep: tuple[str, ...] = ("row_id",)) -> DataFrame:
@@ -88,15 +90,22 @@ def classify(rows: DataFrame, limits: DataFrame, spec: LateSpec = LateSpec(), ke
     read; other columns, whatever their names, are left out. Empty input gives an empty result.
 
     The watermarks (one row per group and batch) are materialised and broadcast only after a count against
-    ``spec.max_broadcast_rows``; beyond it the rows are shuffled by group and batch.
+    ``spec.max_broadcast_rows``; beyond it the rows are shuffled by group and batch, and a batch that holds most rows of a group is split by AQE.
     """
-    marks = broadcast_within(cut(low_watermarks(punctuations(rows, spec), spec)), spec.max_broadcast_rows)
+    marks = cut(low_watermarks(punctuations(rows, spec), spec))
+    small = marks.limit(spec.max_broadcast_rows + 1).count() <= spec.max_broadcast_rows
     bounds = broadcast_within(limits.select(spec.group, *(F.col(c).cast("bigint").alias(f"__{k}") for k, c in (("delay", spec.delay), ("size", spec.size), ("late", spec.lateness)))), spec.max_broadcast_rows)
     cols = list(dict.fromkeys([spec.group, spec.batch, spec.ts, *keep]))
     taken = [c for c in keep if c.lower() in ("window_start", "window_end", "watermark", "arrival")]
     if taken:
         raise ValueError(f"rename before keeping: {taken}")
-    out = rows.select(*cols).join(bounds, spec.group, "left").join(marks.withColumnRenamed("mark", "__mark"), [spec.group, spec.batch], "left")
+    known = rows.select(*cols).join(bounds, spec.group, "left")
+    marks = marks.withColumnRenamed("mark", "__mark")
+    if small:
+        out = known.join(F.broadcast(marks), [spec.group, spec.batch], "left")
+    else:  # rows without a group or batch have no mark: they needn't meet in one task
+        placed = F.col(spec.group).isNotNull() & F.col(spec.batch).isNotNull()
+        out = known.where(placed).join(marks, [spec.group, spec.batch], "left").unionByName(known.where(~placed).withColumn("__mark", F.lit(None).cast("bigint")))
     ts = F.col(spec.ts).cast("bigint")
     start = ts - F.pmod(ts, F.col("__size"))
     end = start + F.col("__size")

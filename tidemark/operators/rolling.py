@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exact import from_parts, sum_parts
 
 DAY_MS = 86_400_000
+#: Days from 1970 that a DATE, 32 bits wide, can hold, with room for the longest windows.
+FIRST_DAY, LAST_DAY = -2_147_000_000, 2_147_000_000
+
+
+def _day(ts: str) -> Column:
+    """The UTC day of epoch milliseconds; null without a time, or with one that no DATE can hold."""
+    t, of = F.col(ts).cast("bigint"), F.lit(DAY_MS).cast("bigint")
+    day = F.call_function("div", t, of) - F.when((t < 0) & (t % of != 0), 1).otherwise(0)  # div cuts towards zero
+    return F.when(day.between(FIRST_DAY, LAST_DAY), day.cast("int"))
+
+
+def undated(rows: DataFrame, key: str = "name", ts: str = "timestamp", value: str = "value") -> DataFrame:
+    """(key, reason, rows, n, total): what :func:`rolling_totals` has no day for: ``untimed`` rows, and rows ``out of range`` of a DATE."""
+    odd = rows.select(F.col(key).alias("__key"), F.when(F.col(ts).isNull(), "untimed").when(_day(ts).isNull(), "out of range").alias("__why"), F.col(value).cast("bigint").alias("__v"))
+    agg = odd.where(F.col("__why").isNotNull()).groupBy("__key", "__why").agg(F.count(F.lit(1)).alias("rows"), F.count("__v").alias("n"), *sum_parts(F.col("__v"), "s"))
+    return agg.select(F.col("__key").alias(key), F.col("__why").alias("reason"), "rows", "n", from_parts("s").alias("total"))
 
 
 def daily(rows: DataFrame, key: str = "name", ts: str = "timestamp", value: str = "value") -> DataFrame:
-    """(key, day, rows, n, total): per key and UTC day the rows, the non-null values and their exact sum. Left out: rows without a time, or with one beyond 2^31 days."""
-    t = F.col(ts).cast("bigint")
-    timed = rows.select(F.col(key).alias("__key"), ((t - F.pmod(t, F.lit(DAY_MS))) / DAY_MS).try_cast("int").alias("__day"), F.col(value).cast("bigint").alias("__v")).where(F.col("__day").isNotNull())
+    """(key, day, rows, n, total): per key and UTC day the rows, the non-null values and their exact sum. The rows without a day are :func:`undated`."""
+    timed = rows.select(F.col(key).alias("__key"), _day(ts).alias("__day"), F.col(value).cast("bigint").alias("__v")).where(F.col("__day").isNotNull())
     agg = timed.groupBy("__key", "__day").agg(F.count(F.lit(1)).alias("__rows"), F.count("__v").alias("__n"), *sum_parts(F.col("__v"), "s"))
     return agg.select("__key", "__day", "__rows", "__n", F.coalesce(from_parts("s"), F.lit(0).cast("decimal(38,0)")).alias("__total"))
 
@@ -23,7 +38,7 @@ def rolling_totals(rows: DataFrame, windows: tuple[int, ...] = (7, 30), key: str
 
     Columns: key, ``day`` DATE, ``rows_today``, and for each length w ``total_{w}d`` DECIMAL(38,0), ``n_{w}d`` (non-null values) and
     ``avg_{w}d`` (mean of those values; null without any; a quiet window has total 0). Times are epoch milliseconds; rows
-    without a time are left out, a null key is a key. Only the named columns are read. Empty input gives no row.
+    without a day (no time, or one beyond the 32 bits of a DATE) are in no total and come out of :func:`undated`; a null key is a key. Only the named columns are read. Empty input gives no row.
 
     Each daily amount is a delta +a on its day and -a once it is w days old. The running sum of a key's deltas is a step
     function that only changes at deltas, so it is computed there alone and each step is then spread over its days: a quiet day costs

@@ -11,16 +11,20 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.functions.aggregates import Agg
 from tidemark.functions.histogram import bucket, bucket_small
 from tidemark.functions.windows import Hop
 from tidemark.session import broadcast_within
+from tidemark.streaming.state import CoProcess, co_process, fold_windows, strict
 from tidemark.streaming.watermarks import Strategy
 from tidemark.types import locate
 
 #: Windows per row from which panes are shared by default.
 SHARE_FROM = 4
+#: Windows that are combined from panes in one place span this many window sizes.
+BLOCK_SIZES = 8
 
 
 class Stream:
@@ -60,16 +64,26 @@ class Stream:
 
     # time and keys
 
-    def assign_timestamps(self, strategy: Strategy) -> Stream:
-        """Set the event time; rows with a null time have no event time and are left out, as no window can hold them."""
-        timed = strategy.assign(self.df)
-        return Stream(timed, strategy.column, strategy)
+    def assign_timestamps(self, strategy: Strategy, source: Sequence[str] = (), order: Sequence[str] = (), clock: str | None = None, tick: str | None = None) -> Stream:
+        """Set the event time; rows with a null time have no event time and are left out, as no window can hold them.
 
-    def key_by(self, *columns: int | str) -> Keyed:
-        """Key columns by name or index; at least one."""
-        if not columns:
+        With ``source`` columns the strategy's own watermark is kept per source, row by row, and rows below it are dropped:
+        see :func:`tidemark.streaming.state.strict`, also for ``order``, ``clock`` and ``tick``.
+        """
+        if not source:
+            return Stream(strategy.assign(self.df), strategy.column, strategy)
+        kept = strict(self.df, strategy, source, order, clock, tick).where(~F.col("late")).drop("late", "watermark")
+        return Stream(strategy.watermarked(kept) if kept.isStreaming else kept, strategy.column, strategy)
+
+    def key_by(self, *columns: int | str, **computed: Column) -> Keyed:
+        """Key columns by name or index, or computed: ``key_by("name", parity=F.col("value") % 2)``; at least one."""
+        if not columns and not computed:
             raise ValueError("a key needs columns")
-        return Keyed(self, [self.df.columns[locate(self.df.schema, c)] for c in columns])
+        taken = sorted(set(computed) & set(self.df.columns))
+        if taken:
+            raise ValueError(f"columns of these names exist: {taken}")
+        named = [self.df.columns[locate(self.df.schema, c)] for c in columns]
+        return Keyed(self._with(self.df.withColumns(computed)) if computed else self, [*named, *computed])
 
     # several streams
 
@@ -97,6 +111,10 @@ class Stream:
         """Each row once for each of ``n`` channels."""
         return self._with(self.df.withColumn(channel, F.explode(F.sequence(F.lit(0), F.lit(n - 1)))))
 
+    def observed(self, name: str, *more: Column) -> Stream:
+        """Count the rows that pass, and further aggregates: read them with :class:`tidemark.streaming.metrics.Meters`."""
+        return self._with(self.df.observe(name, F.count(F.lit(1)).alias("rows"), *more))
+
     def sink(self, to: Callable[[DataFrame], Any]) -> Any:
         """Hand the rows to a sink of :mod:`tidemark.sources.sinks`."""
         return to(self.df)
@@ -119,6 +137,10 @@ class Connected:
             df = df.unionByName(p, allowMissingColumns=True)
         return self.left._with(df)
 
+    def stateful(self, keys: Sequence[str], process: Callable[[], CoProcess], schema: T.StructType | str, order: Sequence[str] = ()) -> Stream:
+        """Rows of all inputs, met by key in one stateful process: see :class:`tidemark.streaming.state.CoProcess`."""
+        return self.left._with(co_process([self.left.df, *(r.df for r in self.rights)], list(keys), process, schema, list(order)))
+
 
 class Keyed:
     def __init__(self, stream: Stream, keys: list[str]):
@@ -143,8 +165,9 @@ class Windowed:
         """The rows with window_start and window_end, one for each window that holds them."""
         w, ts = self.windows, F.col(self.stream.ts)
         if isinstance(w, Hop):
-            spread = self.stream.df.withColumn("window_start", w.last_start(ts) if w.size == w.slide else F.explode(w.starts(ts)))
-            return (spread.where(F.col("window_start") >= 0) if w.size == w.slide else spread).withColumn("window_end", F.col("window_start") + w.size)
+            start = w.last_start(ts) if w.candidates == 1 else F.explode(w.starts(ts))
+            kept = self.stream.df.withColumn("window_start", start).where(w.holds(F.col("window_start"), ts))
+            return kept.withColumn("window_end", F.col("window_start") + w.size)
         spread = self.stream.df.withColumn("__w", F.explode(w(ts)))
         return spread.withColumns({"window_start": F.col("__w.start"), "window_end": F.col("__w.end")}).drop("__w")
 
@@ -177,9 +200,14 @@ class Windowed:
         parts = [a.partial().alias(f"__a{i}") for i, a in plain] + ([F.count(F.lit(1)).alias("__n")] if hists else [])
         out = rows.groupBy(*keys, *at).agg(*parts)
         again = [a.combine(F.col(f"__a{i}")).alias(f"__a{i}") for i, a in plain]
-        if panes:
-            out = out.withColumn("window_start", F.explode(w.pane_starts(F.col("window_start"))))
-            out = out.groupBy(*keys, *at).agg(*again, *([F.sum("__n").alias("__n")] if hists else [])).withColumn("window_end", F.col("window_start") + w.size)
+        if panes:  # panes, not their copies, are shuffled: by key and stretch of time, within which windows are combined in place
+            last, stretch = F.col("window_start"), F.lit(w.size * BLOCK_SIZES).cast("bigint")
+            of = lambda s: F.floor(s / stretch).cast("bigint")
+            first = last - (w.size - w.slide)
+            own = F.when(of(first) == of(last), F.array(of(last))).otherwise(F.array(of(first), of(last)))
+            placed = out.withColumn("__block", F.explode(own)).repartition(*keys, "__block")
+            out = placed.withColumn("window_start", F.explode(w.starts(last))).where((last >= 0) & (of(last) == F.col("__block")))
+            out = out.groupBy(*keys, "__block", *at).agg(*again, *([F.sum("__n").alias("__n")] if hists else [])).drop("__block").withColumn("window_end", last + w.size)
         if hists:
             first = [a.combine(F.when(F.col("__tag") == 0, F.col(f"__a{i}"))).alias(f"__a{i}") for i, a in plain]
             maps = [F.map_from_entries(F.collect_list(F.when((F.col("__tag") == j) & F.col("__bucket").isNotNull(), F.struct("__bucket", "__n")))).alias(f"__a{i}") for j, (i, _) in enumerate(hists)]
@@ -189,8 +217,11 @@ class Windowed:
 
     def _streaming(self, aggs: Sequence[Agg]) -> Stream:
         if not isinstance(self.windows, Hop):
-            raise ValueError("streams need hopping or tumbling windows")
-        strategy, schema = self.stream.strategy, self.stream.df.schema
+            return self._folding(aggs)
+        w, strategy, schema = self.windows, self.stream.strategy, self.stream.df.schema
+        rows, ts = self.stream.df, F.col(self.stream.ts)
+        if w.slide > w.size:
+            rows = rows.where(ts < w.last_start(ts) + w.size)
         exprs = []
         for a in aggs:
             if a.kind == "pct":
@@ -200,8 +231,9 @@ class Windowed:
                 exprs.append(F.map_from_entries(F.filter(pairs, lambda x: x["n"] > 0)).alias(a.output))
             else:
                 exprs.append(a.result(a.partial(), schema).alias(a.output))
-        grouped = self.stream.df.groupBy(self.windows.column(F.col(strategy.event_time)).alias("window"), *self.keys).agg(*exprs)
-        start, end = F.unix_millis("window.start"), F.unix_millis("window.end")
+        grouped = rows.groupBy(w.column(F.col(strategy.event_time)).alias("window"), *self.keys).agg(*exprs)
+        start = F.unix_millis("window.start")
+        end = start + w.size
         out = grouped.where(start >= 0).select(*self.keys, *(F.col(f"`{a.output}`") for a in aggs), start.alias("window_start"), end.alias("window_end"))
         return Stream(out, None, None)
 
@@ -209,54 +241,74 @@ class Windowed:
         """A custom aggregate per key and window: ``step(acc or None, row) -> acc``, ``merge(acc, acc) -> acc``; acc is a dict of ``schema``.
 
         Rows are folded where they are read, so only one accumulator per task, key and window is shuffled; ``merge`` must be
-        associative and commutative. A task holds at most 100,000 accumulators before it passes them on.
+        associative and commutative. A task holds at most 100,000 accumulators before it passes them on. Values keep their types:
+        integers come as int, nulls as None. On a stream each accumulator is keyed state, given out when the watermark passes its window.
         """
         acc = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        if self.stream.df.isStreaming:
+            return Stream(fold_windows(self.assigned(), self.keys, step, acc), None, None)
         df, by = self.assigned(), [*self.keys, "window_start", "window_end"]
         full = T.StructType([*(df.schema[k] for k in by), *acc.fields])
         names = acc.names
 
-        def run(add: Callable[[dict | None, dict], dict]) -> Callable[[Iterator[Any]], Iterator[Any]]:
-            def go(frames: Iterator[Any]) -> Iterator[Any]:
-                import pandas as pd
-
-                def out(held: dict[tuple, dict]) -> Any:
-                    rows = [(*k, *(v[n] for n in names)) for k, v in held.items()]
-                    return pd.DataFrame(rows, columns=[*by, *names]).astype(object)
+        arrow = to_arrow_schema(full)
 
-                held: dict[tuple, dict] = {}
-                for frame in frames:
-                    for row in frame.astype(object).where(frame.notna(), None).to_dict("records"):
-                        k = tuple(row[c] for c in by)
-                        held[k] = add(held.get(k), row)
-                    if len(held) >= 100_000:
-                        yield out(held)
-                        held = {}
-                if held:
-                    yield out(held)
+        def batch(rows: list[dict]) -> Any:
+            import pyarrow as pa
 
-            return go
+            return pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-        parts = df.mapInPandas(run(step), full)
-
-        def merge_sorted(frames: Iterator[Any]) -> Iterator[Any]:
-            import pandas as pd
-
-            at, have, done = None, None, []
-            for frame in frames:
-                for row in frame.astype(object).where(frame.notna(), None).to_dict("records"):
+        def fold_rows(batches: Iterator[Any]) -> Iterator[Any]:
+            held: dict[tuple, dict] = {}
+            out = lambda: batch([dict(zip(by, k)) | {n: v[n] for n in names} for k, v in held.items()])
+            for b in batches:
+                for row in b.to_pylist():
+                    k = tuple(row[c] for c in by)
+                    held[k] = step(held.get(k), row)
+                if len(held) >= 100_000:
+                    yield out()
+                    held = {}
+            if held:
+                yield out()
+
+        def merge_sorted(batches: Iterator[Any]) -> Iterator[Any]:
+            at: tuple | None = None
+            have: dict = {}
+            done: list[dict] = []
+            for b in batches:
+                for row in b.to_pylist():
                     k = tuple(row[c] for c in by)
                     if k == at:
                         have = merge(have, row)
                         continue
                     if at is not None:
-                        done.append((*at, *(have[n] for n in names)))
+                        done.append(dict(zip(by, at)) | {n: have[n] for n in names})
                     at, have = k, row
                 if done:
-                    yield pd.DataFrame(done, columns=[*by, *names]).astype(object)
+                    yield batch(done)
                     done = []
             if at is not None:
-                yield pd.DataFrame([(*at, *(have[n] for n in names))], columns=[*by, *names]).astype(object)
+                yield batch([dict(zip(by, at)) | {n: have[n] for n in names}])
 
-        merged = parts.repartition(*by).sortWithinPartitions(*by).mapInPandas(merge_sorted, full)
+        parts = df.mapInArrow(fold_rows, full)
+        merged = parts.repartition(*by).sortWithinPartitions(*by).mapInArrow(merge_sorted, full)
         return Stream(merged, None, None)
+
+    def _folding(self, aggs: Sequence[Agg]) -> Stream:
+        """Windows of a custom assigner on a stream: the aggregates as one keyed accumulator per window."""
+        pct = [a.output for a in aggs if a.kind == "pct"]
+        if pct:
+            raise ValueError(f"percentiles need hopping or tumbling windows on a stream: {pct}")
+        schema = self.stream.df.schema
+        fields = T.StructType([T.StructField(a.output, a.type(schema)) for a in aggs])
+        plan = [(a.output, a.kind, a.column) for a in aggs]
+
+        def step(acc: dict | None, row: dict) -> dict:
+            acc = acc or {name: 0 if kind == "count" else None for name, kind, _ in plan}
+            for name, kind, column in plan:
+                v, old = 1 if kind == "count" else row[column], acc[name]
+                if v is not None:
+                    acc[name] = v if old is None else old + v if kind in ("count", "sum") else max(old, v) if kind == "max" else min(old, v)
+            return acc
+
+        return Stream(fold_windows(self.assigned(), self.keys, step, fields), None, None)

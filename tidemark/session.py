@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -33,10 +35,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the session names in spark.checkpoint.dir; a temporary one only where none is named (tests)."""
+    """Use the folder that the session names in spark.checkpoint.dir. Only a local session may do without one: it gets a temporary
+    folder that is removed when the process ends. On a cluster a folder of one machine would not be seen by the others, so that raises."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+    if not sc._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir(folder)
 
 
 def scratch(spark: SparkSession) -> str:
@@ -51,9 +61,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is, so that the join shuffles.
+#: Bytes of a side that is broadcast: what its columns' texts and numbers take, counted before the join.
+MAX_BROADCAST_BYTES = 256 << 20
 
-    The count stops at ``max_rows`` + 1 rows. Give a table that is cheap to read: a file, or the result of :func:`cut`.
+
+def broadcast_within(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows of ``max_bytes`` in all, else as it is, so that the join shuffles.
+
+    The count stops at ``max_rows`` + 1 rows; bytes are counted where a column has no fixed width. Give a table that is cheap to
+    read: a file, or the result of :func:`cut`.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    some = df.limit(max_rows + 1)
+    width = sum(f.dataType.typeName() not in _WIDE for f in df.schema) * 8
+    wide = [F.coalesce(F.length(F.col(f"`{f.name}`").cast("string")), F.lit(0)).cast("bigint") for f in df.schema if f.dataType.typeName() in _WIDE]
+    bytes_ = F.sum(sum(wide, F.lit(width).cast("bigint"))) if wide else F.count(F.lit(1)) * width
+    n, size = some.agg(F.count(F.lit(1)), bytes_).first()
+    return F.broadcast(df) if n <= max_rows and (size or 0) <= max_bytes else df
+
+
+_WIDE = ("string", "binary", "array", "map", "struct", "variant")
