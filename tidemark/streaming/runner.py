@@ -6,18 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The time of a row that closes all windows: 2200-01-01 UTC, which pandas can hold as well.
-END_OF_INPUT = 7_258_118_400_000
 
+def closing_time(last: int, delay: int, size: int) -> int:
+    """The time of a row that closes all windows of an input whose latest time is ``last``: its watermark passes their ends, and its own
+    windows, of at most ``size`` ms (the slide, where that is longer), begin after ``last``."""
+    return last + size + delay + 1
 
-def sentinel(spark: SparkSession, schema: T.StructType, ts: str) -> DataFrame:
-    """One row with the end-of-input time and nulls elsewhere, to be the last micro-batch. Drop its windows with :func:`without_sentinel`."""
-    row = spark.range(1).select(*((F.lit(END_OF_INPUT).cast("bigint") if f.name == ts and not isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)) else F.timestamp_millis(F.lit(END_OF_INPUT)).cast(f.dataType) if f.name == ts else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields))
-    return row
 
+def sentinel(spark: SparkSession, schema: T.StructType, ts: str, at: int) -> DataFrame:
+    """One row at :func:`closing_time` with nulls elsewhere, to be the last micro-batch. Its windows go with :func:`without_sentinel`."""
 
-def without_sentinel(windows: DataFrame) -> DataFrame:
-    return windows.where(F.col("window_end") < END_OF_INPUT)
+    def value(f: T.StructField) -> F.Column:
+        if f.name != ts:
+            return F.lit(None).cast(f.dataType)
+        timestamp = isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))
+        return F.timestamp_millis(F.lit(at)).cast(f.dataType) if timestamp else F.lit(at).cast(f.dataType)
+
+    return spark.range(1).select(*(value(f).alias(f.name) for f in schema.fields))
+
+
+def without_sentinel(windows: DataFrame, last: int) -> DataFrame:
+    """The windows of real rows: they begin by the latest real time, those of the closing row after it, whatever the year."""
+    return windows.where(F.col("window_start") <= last)
 
 
 def drain(df: DataFrame, name: str, checkpoint: str | None = None, mode: str = "append") -> DataFrame:
@@ -30,6 +40,12 @@ def drain(df: DataFrame, name: str, checkpoint: str | None = None, mode: str = "
     return df.sparkSession.table(name)
 
 
+def drain_append(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run a stream until its input is used up, in append mode, to files that its log commits exactly once; call it again for more input."""
+    df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def drain_complete(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Run a streaming aggregation until its input is used up and return all its groups, closed or not, as a written table.
 
