@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.properties import Properties
+from tidemark.types import KAFKA_MESSAGE
 
 # Property names.
 TYPE, BEGIN, END = "type", "begin", "end"
@@ -60,13 +62,17 @@ class OffsetRange:
             if bounded and self.end:
                 out["endingOffsets"] = at(self.end, 1)
             return out
-        out = {"startingTimestamp": str(next(iter(self.begin.values()))[0])} if len(self.begin) == 1 else {}
         if len(self.begin) > 1:
-            raise ValueError("begin times of several topics need their partitions: use timestamp_options")
+            raise ValueError("begin times of several topics need their partitions: timestamp_options, or a reader per topic as in kafka_source")
+        out = {"startingTimestamp": str(next(iter(self.begin.values()))[0])}
         if bounded and self.end:
             out["endingTimestamp"] = str(next(iter(self.end.values()))[0] + 1)
         return out
 
+    def per_topic(self) -> dict[str, OffsetRange]:
+        """A range of its own for each topic named."""
+        return {t: OffsetRange(self.kind, {t: v}, {t: self.end[t]} if self.end and t in self.end else None) for t, v in self.begin.items()}
+
     def timestamp_options(self, partitions: dict[str, int], bounded: bool) -> dict[str, str]:
         """The same for several topics, given their numbers of partitions."""
         at = lambda side, plus: json.dumps({t: {str(i): v[0] + plus for i in range(partitions[t])} for t, v in side.items()})
@@ -104,13 +110,30 @@ def _load(reader, fmt: str) -> DataFrame:
         raise
 
 
-def kafka_source(spark: SparkSession, conf: dict[str, str], topics: Sequence[str], offsets: OffsetRange = OffsetRange(), bounded: bool = False, max_per_trigger: int | None = None) -> DataFrame:
-    """Messages as (timestamp, key, payload, topic, partition, offset). A stream goes on from its checkpoint, else from ``offsets``."""
-    reader = spark.read if bounded else spark.readStream
-    options = {f"kafka.{k}": v for k, v in conf.items()} | {"subscribe": ",".join(topics)} | offsets.reader_options(bounded)
+def kafka_source(spark: SparkSession, conf: dict[str, str], topics: Sequence[str], offsets: OffsetRange = OffsetRange(), bounded: bool = False, max_per_trigger: int | None = None, partitions: dict[str, int] | None = None) -> DataFrame:
+    """Messages as (timestamp, key, payload, topic, partition, offset). A stream goes on from its checkpoint, else from ``offsets``.
+
+    ``partitions`` gives each topic's number of partitions, if known: begin times of several topics then take one reader.
+    """
+    parts = [_load((spark.read if bounded else spark.readStream).format("kafka").options(**o), "kafka") for o in source_options(conf, topics, offsets, bounded, max_per_trigger, partitions)]
+    return messages(reduce(lambda a, b: a.unionByName(b), parts))
+
+
+def source_options(conf: dict[str, str], topics: Sequence[str], offsets: OffsetRange, bounded: bool, max_per_trigger: int | None = None, partitions: dict[str, int] | None = None) -> list[dict[str, str]]:
+    """The options of each reader that :func:`kafka_source` unites. One reader does, but for begin times of several topics whose numbers
+    of partitions aren't given: then each topic has its own."""
+    base = {f"kafka.{k}": v for k, v in conf.items()}
     if max_per_trigger and not bounded:
-        options["maxOffsetsPerTrigger"] = str(max_per_trigger)
-    return messages(_load(reader.format("kafka").options(**options), "kafka"))
+        base["maxOffsetsPerTrigger"] = str(max_per_trigger)
+    several = offsets.kind == "timestamp" and len(topics) > 1
+    if several and not partitions:
+        each = offsets.per_topic()
+        absent = sorted(set(topics) - set(each))
+        if absent:
+            raise ValueError(f"topics without a begin time: {absent}")
+        return [base | {"subscribe": t} | each[t].reader_options(bounded) for t in topics]
+    at = offsets.timestamp_options(partitions, bounded) if several else offsets.reader_options(bounded)
+    return [base | {"subscribe": ",".join(topics)} | at]
 
 
 def messages(kafka: DataFrame) -> DataFrame:
@@ -127,6 +150,12 @@ def decode(df: DataFrame, schema: T.StructType | str, payload: str = "payload",
     return df.select(*keep, F.from_json(F.col(payload).cast("string"), schema).alias("__j")).select(*keep, "__j.*")
 
 
+def build_record(timestamp: Column, key: Column, payload: Column, topic: Column, partition: Column, offset: Column) -> list[Column]:
+    """The columns of a message, in order and with the types of ``KAFKA_MESSAGE``."""
+    given = (timestamp, key, payload, topic, partition, offset)
+    return [c.cast(f.dataType).alias(f.name) for c, f in zip(given, KAFKA_MESSAGE.fields)]
+
+
 def writer_columns(df: DataFrame, topic: str | None = None) -> DataFrame:
     """(key, value, topic) for Spark's Kafka sink from messages; a fixed topic, or each row's own."""
     missing = {"key", "payload", *(() if topic else ("topic",))} - set(df.columns)
