@@ -14,6 +14,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.incremental import RunStore
 from tidemark.session import cut
 
 #: Numbers of one block: what is ordered in one task to merge ranges.
@@ -34,26 +35,28 @@ def _block(seq: str) -> Column:
     return F.shiftright(F.col(seq).cast("bigint"), BLOCK_BITS)
 
 
-def accept(messages: DataFrame, seen: DataFrame | None, producer: tuple[str, ...], seq: str) -> DataFrame:
-    """``messages`` (one row per producer and number) with ``covered``: whether the number lies in a seen range."""
-    blocked = messages.withColumn("block", _block(seq))
-    if seen is None:
-        return blocked.withColumn("covered", F.lit(False))
-    n = F.col(seq).cast("bigint")
-    covered = F.coalesce(F.exists("ranges", lambda r: (r["lo"] <= n) & (n <= r["hi"])), F.lit(False))
-    return blocked.join(seen, [*producer, "block"], "left").withColumn("covered", covered).drop("ranges")
-
+def place(messages: DataFrame, seen: DataFrame | None, producer: tuple[str, ...], seq: str) -> DataFrame:
+    """``messages`` (one row per producer and number, with first and copies) and the seen ranges of their blocks in one order by number.
 
-def merge_ranges(messages: DataFrame, seen: DataFrame | None, producer: tuple[str, ...], seq: str) -> DataFrame:
-    """The seen ranges after ``messages``: (producer, block, ranges), ranges disjoint, not adjacent, in order. Those of a block stay within it."""
+    Returns (producer, block, lo, hi, first, copies, message, covered, island): a message is covered if a seen range that begins by it
+    reaches it; what touches or overlaps shares an island, a range of the new state. One sort of a block's messages and ranges does both.
+    """
     n = F.col(seq).cast("bigint")
-    spans = messages.select(*producer, _block(seq).alias("block"), n.alias("lo"), n.alias("hi"))
+    rows = messages.select(*producer, _block(seq).alias("block"), n.alias("lo"), n.alias("hi"), "first", "copies", F.lit(True).alias("message"))
     if seen is not None:
-        spans = spans.unionByName(seen.select(*producer, "block", F.inline("ranges")))
-    w = Window.partitionBy(*producer, "block").orderBy("lo", "hi")
+        own = seen.join(rows.select(*producer, "block").distinct(), [*producer, "block"], "left_semi")
+        rows = rows.unionByName(own.select(*producer, "block", F.inline("ranges")).withColumn("message", F.lit(False)), allowMissingColumns=True)
+    w = Window.partitionBy(*producer, "block").orderBy("lo", "message")
+    told = F.max(F.when(~F.col("message"), F.col("hi"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     before = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    islands = spans.withColumn("begins", F.when(F.col("lo") <= before + 1, 0).otherwise(1)).withColumn("island", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = islands.groupBy(*producer, "block", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    begins = F.when((F.col("lo") <= before) | (F.col("lo") == F.try_add(before, F.lit(1))), 0).otherwise(1)
+    both = rows.withColumns({"covered": F.coalesce(told >= F.col("lo"), F.lit(False)), "begins": begins})
+    return both.withColumn("island", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("begins")
+
+
+def ranges_of(placed: DataFrame, producer: tuple[str, ...]) -> DataFrame:
+    """The seen ranges of the blocks in ``placed``: (producer, block, ranges), ranges disjoint, not adjacent, in order. Those of a block stay within it."""
+    merged = placed.groupBy(*producer, "block", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     return merged.groupBy(*producer, "block").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
 
 
@@ -69,53 +72,97 @@ class Seen:
 class Accepted:
     """One run's result.
 
-    ``messages``: (producer, seq, first, copies, covered); ``malformed``: (key, first, copies, covered); ``ranges``: the seen ranges after
-    it. The malformed deliveries and the new ranges are computed when they are asked for.
+    ``messages``: (producer, seq, first, copies, covered); ``malformed``: (key, first, copies, covered); ``ranges``: the seen ranges of
+    the blocks that the run touched, as they are after it; ``before``: the ranges before it. The malformed deliveries and the new
+    ranges are computed when they are asked for.
     """
 
-    messages: DataFrame
+    placed: DataFrame
+    producer: tuple[str, ...]
+    seq: str
     _malformed: Callable[[], DataFrame]
-    _ranges: Callable[[DataFrame], DataFrame]
+    before: DataFrame | None = None
+
+    @cached_property
+    def messages(self) -> DataFrame:
+        return self.placed.where("message").select(*self.producer, F.col("lo").alias(self.seq), "first", "copies", "covered")
 
     @cached_property
     def malformed(self) -> DataFrame:
         return self._malformed()
 
+    @cached_property
+    def touched(self) -> DataFrame:
+        return cut(ranges_of(self.placed, self.producer))
+
     @cached_property
     def ranges(self) -> DataFrame:
-        return self._ranges(self.messages)
+        """The whole state of ranges after the run."""
+        if self.before is None:
+            return self.touched
+        return cut(self.touched.unionByName(self.before.join(self.touched, [*self.producer, "block"], "left_anti").select(*self.touched.columns)))
 
     @property
     def arrivals(self) -> DataFrame:
         """(first): the one delivery of each message and malformed key that is let through."""
         return self.messages.where(~F.col("covered")).select("first").unionByName(self.malformed.where(~F.col("covered")).select("first"))
 
+    @property
+    def repeated(self) -> DataFrame:
+        """(producer, seq): the messages that this run or an earlier one had before."""
+        return self.messages.where(F.col("covered") | (F.col("copies") > 1)).select(*self.producer, self.seq)
+
     def seen(self, before: Seen) -> Seen:
         """The whole state after this run, to be kept for the next."""
         fresh = self.malformed.where(~F.col("covered")).select("key")
         return Seen(self.ranges, fresh if before.keys is None else before.keys.unionByName(fresh))
 
 
-def accept_once(deliveries: DataFrame, seen: Seen, *, producer: tuple[str, ...], seq: str, arrival: str, exact_key: Column, copies: str | None = None) -> Accepted:
+def accept_once(
+    deliveries: DataFrame, seen: Seen, *, producer: tuple[str, ...], seq: str, arrival: str, exact_key: Column, copies: str | None = None, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: cut(df)
+) -> Accepted:
     """Take one run of deliveries: each number that no seen range covers is accepted once, as its first arrival; then ranges merge.
 
     ``exact_key`` identifies a delivery whose producer or number is null; equal keys are copies. Rows need ``arrival``, a unique,
-    orderable id. Empty input accepts nothing and leaves the state. The messages and the new state are written to the checkpoint
-    folder, so a lost executor costs a re-read, and so the lineage doesn't grow with the number of runs.
+    orderable id. Empty input accepts nothing and leaves the state. ``keep`` writes what was computed, messages and malformed deliveries:
+    by default to the checkpoint folder, so a lost executor costs a re-read, and so the lineage doesn't grow with the number of runs.
     """
     broken = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in (*producer, seq)))
     counts = [copies] if copies else []
-
-    def messages() -> DataFrame:
-        good = deliveries.where(~broken).select(*producer, F.col(seq).cast("bigint").alias(seq), arrival, *counts)
-        return cut(accept(combine_copies(good, producer, seq, arrival, copies), seen.ranges, producer, seq))
+    good = deliveries.where(~broken).select(*producer, F.col(seq).cast("bigint").alias(seq), arrival, *counts)
+    placed = keep(place(combine_copies(good, producer, seq, arrival, copies), seen.ranges, producer, seq), "messages")
 
     def malformed() -> DataFrame:
         odd = combine_copies(deliveries.where(broken).select(exact_key.alias("key"), arrival, *counts), ("key",), "key", arrival, copies)
-        known = seen.keys.withColumn("covered", F.lit(True)) if seen.keys is not None else None
-        return cut(odd.withColumn("covered", F.lit(False)) if known is None else odd.join(known, "key", "left").withColumn("covered", F.coalesce("covered", F.lit(False))))
+        known = seen.keys.select("key").withColumn("covered", F.lit(True)) if seen.keys is not None else None
+        judged = odd.withColumn("covered", F.lit(False)) if known is None else odd.join(known, "key", "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
+        return keep(judged, "malformed")
+
+    return Accepted(placed, producer, seq, malformed, seen.ranges)
+
+
+def _hash_bucket(*cols: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(*cols), 56).cast("int")
 
-    return Accepted(messages(), malformed, lambda m: cut(merge_ranges(m.where(~F.col("covered")), seen.ranges, producer, seq)))
+
+def run_deliveries(store: RunStore, deliveries: DataFrame, *, producer: tuple[str, ...], seq: str, arrival: str, exact_key: Column, copies: str | None = None, tag: int | None = None) -> Accepted:
+    """One run whose messages, malformed deliveries, seen ranges and exact keys are committed together: a run that fails leaves nothing,
+    so repeated it neither skips nor repeats. ``deliveries`` is read several times: give a written table.
+
+    Ranges and keys lie in buckets by hash. The run reads and writes those of the blocks and keys that its deliveries meet.
+    """
+    commit, draft = store.last(), store.draft()
+    broken = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in (*producer, seq)))
+    met = deliveries.select(F.when(~broken, _block(seq)).alias("block"), *producer, F.when(broken, exact_key).alias("key"))
+    met = met.select(F.when(F.col("key").isNull(), _hash_bucket(*producer, "block")).alias("r"), F.when(F.col("key").isNotNull(), _hash_bucket("key")).alias("k")).distinct().collect()  # at most 512
+    ranges, keys = ([*sorted({m[c] for m in met if m[c] is not None})] for c in ("r", "k"))
+    seen = Seen(store.state("ranges", ranges, commit), store.state("keys", keys, commit))
+    run = accept_once(deliveries, seen, producer=producer, seq=seq, arrival=arrival, exact_key=exact_key, copies=copies, keep=draft.keep)
+    fresh = run.malformed.where(~F.col("covered")).select("key")
+    all_keys = fresh if seen.keys is None else fresh.unionByName(seen.keys.select("key"))
+    state = {"ranges": (run.ranges.withColumn("bucket", _hash_bucket(*producer, "block")), ranges), "keys": (all_keys.withColumn("bucket", _hash_bucket("key")), keys)}
+    store.publish_parts({}, {}, tag=tag, buckets=state, draft=draft)
+    return run
 
 
 def runs_of(deliveries: DataFrame, batch: str, runs: int) -> list[Column]:

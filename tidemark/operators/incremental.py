@@ -1,17 +1,18 @@
 """Process only what is new or changed: Merkle trees over key ranges, and output that is published together with its tree.
 
 Two kinds of table are handled. *Numbered* records (spaces such as topic and partition, and a number) are kept as words of 64 numbers,
-one bit each, so repeated deliveries don't change a digest. *Keyed* records are kept as hashes of key and content in ranges of the key's
-hash, so changed and removed records show as well. A leaf is a range of numbers or key hashes; a node's digest combines its children's.
-The tree of the last run is compared with that of now from the root, descending only below nodes whose digests differ.
+one bit each, so repeated deliveries don't change a digest. *Keyed* records are kept as hashes of key and content, so changed and removed
+records show as well. A leaf is a range of hashes: of a space and its stretch of 4096 numbers, or of a key. A node's digest combines its
+children's. The tree that the last run published is compared with that of now from the root, descending only below nodes whose digests
+differ; what the last run had is read from the differing leaves' files alone, and only these are written again.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,29 +100,37 @@ def upto(w: DataFrame, offsets: DataFrame, spaces: tuple[str, ...], saved: str)
     return w.join(offsets.select(*spaces, saved), list(spaces)).select(*spaces, "word", F.col("bits").bitwiseAND(low).alias("bits")).where(F.col("bits") != 0)
 
 
+def fresh_numbers(now: DataFrame, saved: DataFrame, spaces: tuple[str, ...], number: str) -> DataFrame:
+    """(spaces, number): the numbers in the words ``now`` but not in the words ``saved``."""
+    both = _meet(now, saved, spaces, "word = r_word", "left")
+    fresh = both.select(*spaces, "word", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("r_bits", F.lit(0).cast("bigint")))).alias("fresh")).where(F.col("fresh") != 0)
+    each = fresh.select(*spaces, "word", "fresh", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).where(F.expr("shiftrightunsigned(fresh, i) & 1") == 1)
+    return each.select(*spaces, (F.shiftleft(F.col("word"), WORD_BITS) + F.col("i")).alias(number))
+
+
 def new_numbers(now: DataFrame, saved: DataFrame, spaces: tuple[str, ...], number: str = "offset") -> DataFrame:
     """(spaces, number): the numbers in ``now`` (words) but not in ``saved`` (words), read from the leaves that differ only."""
     a, b = word_leaves(now, spaces), word_leaves(saved, spaces)
     levels = levels_for(a)
     leaves = changed_leaves(cut(tree(a, spaces, levels)), cut(tree(b, spaces, levels)), spaces, levels)
-    side = _meet(now, leaves, spaces, f"shiftright(word, {LEAF_BITS - WORD_BITS}) = r_node", "left_semi")
-    both = _meet(side, saved, spaces, "word = r_word", "left")
-    fresh = both.select(*spaces, "word", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("r_bits", F.lit(0).cast("bigint")))).alias("fresh")).where(F.col("fresh") != 0)
-    each = fresh.select(*spaces, "word", "fresh", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).where(F.expr("shiftrightunsigned(fresh, i) & 1") == 1)
-    return each.select(*spaces, (F.shiftleft(F.col("word"), WORD_BITS) + F.col("i")).alias(number))
+    side = _meet(now, leaves, spaces, f"shiftright(word, {LEAF_BITS - WORD_BITS}) = r_node", "left_semi").select(*spaces, "word", "bits")
+    return fresh_numbers(side, saved, spaces, number)
 
 
 # -- keyed records ---------------------------------------------------------------------------------------------------------------
 
 
+def key_hash(keys: tuple[str, ...]) -> Column:
+    return F.xxhash64(*(F.col(k) for k in keys))
+
+
 def key_index(records: DataFrame, keys: tuple[str, ...], content: tuple[str, ...], leaf_bits: int = 16) -> DataFrame:
     """(node, key_hash, row_hash): one row per key; ``node`` is the range of the key's hash. Several rows of a key combine into one hash.
 
     The key hash is 64 bits wide and salted with a second hash in ``row_hash``'s place, so two keys that share one show as a change.
     """
-    kh = F.xxhash64(*(F.col(k) for k in keys))
     row = F.xxhash64(F.lit(7), *(F.col(c) for c in (*keys, *content)))
-    distinct = records.select(kh.alias("key_hash"), row.alias("row_hash")).groupBy("key_hash", "row_hash").agg(F.count(F.lit(1)).alias("n"))
+    distinct = records.select(key_hash(keys).alias("key_hash"), row.alias("row_hash")).groupBy("key_hash", "row_hash").agg(F.count(F.lit(1)).alias("n"))
     per_key = distinct.groupBy("key_hash").agg(F.bit_xor(F.xxhash64("row_hash", "n")).alias("row_hash"))
     return per_key.select(F.shiftrightunsigned("key_hash", 64 - leaf_bits).alias("node"), "key_hash", "row_hash")
 
@@ -130,14 +139,18 @@ def index_leaves(index: DataFrame) -> DataFrame:
     return index.groupBy("node").agg(_digest(F.col("key_hash"), F.col("row_hash")).alias("digest"))
 
 
+def compare_indexes(now: DataFrame, saved: DataFrame) -> DataFrame:
+    """(key_hash, change): ``added``, ``changed`` or ``removed`` between two key indexes."""
+    b = saved.select("key_hash", F.col("row_hash").alias("s_row_hash"))
+    both = now.join(b, "key_hash", "full_outer").where(~F.col("row_hash").eqNullSafe(F.col("s_row_hash")))
+    return both.select("key_hash", F.when(F.col("s_row_hash").isNull(), "added").when(F.col("row_hash").isNull(), "removed").otherwise("changed").alias("change"))
+
+
 def record_changes(now: DataFrame, saved: DataFrame, leaf_bits: int = 16) -> DataFrame:
-    """(key_hash, change): ``added``, ``changed`` or ``removed`` between two key indexes, looked up in the leaves that differ only."""
+    """:func:`compare_indexes`, looked up in the leaves that differ only."""
     levels = -(-leaf_bits // FAN_BITS)
     leaves = changed_leaves(cut(tree(index_leaves(now), (), levels)), cut(tree(index_leaves(saved), (), levels)), (), levels)
-    a = now.join(leaves, "node", "left_semi")
-    b = saved.join(leaves, "node", "left_semi").select("key_hash", F.col("row_hash").alias("s_row_hash"))
-    both = a.join(b, "key_hash", "full_outer").where(~F.col("row_hash").eqNullSafe(F.col("s_row_hash")))
-    return both.select("key_hash", F.when(F.col("s_row_hash").isNull(), "added").when(F.col("row_hash").isNull(), "removed").otherwise("changed").alias("change"))
+    return compare_indexes(now.join(leaves, "node", "left_semi"), saved.join(leaves, "node", "left_semi"))
 
 
 # -- publishing ------------------------------------------------------------------------------------------------------------------
@@ -145,25 +158,41 @@ def record_changes(now: DataFrame, saved: DataFrame, leaf_bits: int = 16) -> Dat
 
 @dataclass
 class RunStore:
-    """A folder of runs. A run's output and state are written under a fresh name and count only once its commit file exists.
+    """A folder of runs. A run's outputs and state are written under a fresh name and count only once its commit file exists.
+
+    The commit file ``commits/<n>.json`` is created by a rename that fails if the target exists, so of two writers one wins. That is one
+    step on HDFS and file systems like it. A local file system looks for the target before it renames, so there and on object stores
+    (which copy) two writers at once need a lock outside; one writer at a time is safe everywhere. What a failed run left is never read.
 
-    The commit file ``commits/<n>.json`` is created by an atomic rename that fails if it exists, so of two writers one wins. What
-    a failed run left is never read. Works on any file system that Hadoop knows.
+    A part of the state is one table, or is kept in buckets: then a run writes the buckets that it changed and its commit goes on naming
+    the others where they are. State that the last ``keep`` commits don't name is deleted; outputs stay.
     """
 
     spark: SparkSession
     path: str
+    keep: int = 2
 
     def _fs(self):
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         return jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(conf), jvm.org.apache.hadoop.fs.Path
 
     def _rename_new(self, draft, final) -> None:
-        """Rename that fails if the target exists, in one step of the file system."""
+        """Rename that fails if the target exists."""
         hadoop = self.spark._jvm.org.apache.hadoop.fs
         none = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
         hadoop.FileContext.getFileContext(final.toUri() if final.toUri().getScheme() else final.getFileSystem(self.spark._jsc.hadoopConfiguration()).getUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, final, none)
 
+    def commit(self, run: int) -> dict | None:
+        fs, Path = self._fs()
+        at = Path(f"{self.path}/commits/{run}.json")
+        if not fs.exists(at):
+            return None
+        stream = fs.open(at)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
     def last(self) -> dict | None:
         """The newest commit: its number, tag, and the paths of its outputs and parts of the state; None before the first."""
         fs, Path = self._fs()
@@ -172,52 +201,190 @@ class RunStore:
             return None
         names = [str(s.getPath().getName()) for s in fs.listStatus(folder)]
         done = [int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()]
-        return json.loads(self.spark.read.text(f"{self.path}/commits/{max(done)}.json", wholetext=True).first()[0]) if done else None
+        return self.commit(max(done)) if done else None
 
-    def state(self) -> DataFrame | None:
-        last = self.last()
-        return self.spark.read.parquet(last["parts"]["state"]) if last else None
+    def output(self, name: str = "output", commit: dict | None = None) -> DataFrame:
+        commit = commit or self.last()
+        return self.spark.read.parquet(commit["outputs"][name])
+
+    def state(self, name: str = "state", buckets: Sequence[int] | None = None, commit: dict | None = None) -> DataFrame | None:
+        """A part of the state, of the given buckets only; None before the first run, and where none of the buckets holds anything."""
+        commit = commit or self.last()
+        at = commit["parts"].get(name) if commit else None
+        if isinstance(at, dict):
+            at = [at[str(b)] for b in (range(BUCKETS) if buckets is None else buckets) if str(b) in at]
+        return self.spark.read.parquet(*([at] if isinstance(at, str) else at)) if at else None
 
     def publish(self, output: DataFrame, state: DataFrame) -> dict:
         return self.publish_parts({"output": output}, {"state": state})
 
-    def publish_parts(self, outputs: dict[str, DataFrame], state: dict[str, DataFrame], tag: int | None = None) -> dict:
-        """Write several outputs and parts of the state, then commit them together. ``tag`` is kept in the commit."""
-        last = self.last()
-        run = last["run"] + 1 if last else 1
-        folder = f"{self.path}/runs/{run}-{uuid.uuid4().hex[:12]}"
-        commit = {"run": run, "tag": run if tag is None else tag, "outputs": {k: f"{folder}/{k}" for k in outputs}, "parts": {k: f"{folder}/state-{k}" for k in state}}
+    def publish_parts(
+        self, outputs: dict[str, DataFrame], state: dict[str, DataFrame], tag: int | None = None, query: str | None = None,
+        buckets: dict[str, tuple[DataFrame, Sequence[int]]] | None = None, draft: Draft | None = None,
+    ) -> dict:
+        """Write several outputs and parts of the state, then commit them together. ``tag`` and ``query`` are kept in the commit.
+
+        ``buckets`` gives, for parts kept in buckets, rows with a column ``bucket`` and the buckets that they replace. ``draft`` has
+        outputs that were written before.
+        """
+        draft = draft or self.draft()
+        last, run, folder = draft.last, draft.run, draft.folder
+        commit = {"run": run, "tag": run if tag is None else tag, "query": query, "outputs": {**draft.outputs, **{k: f"{folder}/{k}" for k in outputs}}, "parts": {k: f"{folder}/state-{k}" for k in state}}
         for k, df in outputs.items():
             df.write.parquet(commit["outputs"][k])
         for k, df in state.items():
             df.write.parquet(commit["parts"][k])
         fs, Path = self._fs()
+        for k, (df, replaced) in (buckets or {}).items():
+            at = f"{folder}/state-{k}"
+            if replaced:
+                df.repartition(min(len(replaced), BUCKETS), "bucket").sortWithinPartitions("bucket").write.partitionBy("bucket").parquet(at)
+            there = [str(s.getPath().getName()) for s in fs.listStatus(Path(at))] if replaced else []
+            kept = {b: p for b, p in (last["parts"].get(k, {}) if last else {}).items() if int(b) not in set(replaced)}
+            commit["parts"][k] = kept | {n.split("=")[1]: f"{at}/{n}" for n in there if n.startswith("bucket=")}
         fs.mkdirs(Path(f"{self.path}/commits"))
-        draft, final = Path(f"{folder}/commit"), Path(f"{self.path}/commits/{run}.json")
-        stream = fs.create(draft, True)
+        written, final = Path(f"{folder}/commit"), Path(f"{self.path}/commits/{run}.json")
+        stream = fs.create(written, True)
         stream.write(bytearray(json.dumps(commit), "utf-8"))
         stream.close()
         try:
-            self._rename_new(draft, final)
+            self._rename_new(written, final)
         except Py4JJavaError as e:
             if not fs.exists(final):
                 raise
             raise RuntimeError(f"run {run} was committed by another writer") from e
+        self._forget(run)
         return commit
 
+    def draft(self) -> Draft:
+        """The place of the next run."""
+        last = self.last()
+        run = last["run"] + 1 if last else 1
+        return Draft(self.spark, last, run, f"{self.path}/runs/{run}-{uuid.uuid4().hex[:12]}")
+
+    def _forget(self, run: int) -> None:
+        """Delete the state that only the commit before the last ``keep`` names."""
+        old = self.commit(run - self.keep)
+        if not old:
+            return
+        paths = lambda c: {p for part in c["parts"].values() for p in (part.values() if isinstance(part, dict) else [part])}
+        named = set().union(*(paths(c) for n in range(run - self.keep + 1, run + 1) if (c := self.commit(n))))
+        fs, Path = self._fs()
+        for p in paths(old) - named:
+            fs.delete(Path(p), True)
+
+
+#: Buckets of a part of the state: the tree's nodes above its leaves' parents, or eight bits of a hash.
+BUCKETS = 1 << FAN_BITS
+
+
+@dataclass
+class Draft:
+    """A run that isn't committed yet: tables can be written to it and read again before it is."""
+
+    spark: SparkSession
+    last: dict | None
+    run: int
+    folder: str
+    outputs: dict[str, str] = field(default_factory=dict)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write an output now; it counts once the run is committed."""
+        self.outputs[name] = f"{self.folder}/{name}"
+        df.write.parquet(self.outputs[name])
+        return self.spark.read.parquet(self.outputs[name])
+
+
+# -- runs ------------------------------------------------------------------------------------------------------------------------
+
+LEVELS = 2  # of a saved tree: 65536 leaves under 256 nodes under the root; the nodes are the buckets
+
+
+def _position(spaces: tuple[str, ...]) -> Column:
+    """The leaf of a word: 16 bits of the hash of its space and its stretch of 4096 numbers."""
+    return F.shiftrightunsigned(F.xxhash64(*spaces, F.shiftright("word", LEAF_BITS - WORD_BITS)), 64 - LEVELS * FAN_BITS)
+
+
+def _bucket(node: str = "node") -> Column:
+    return F.shiftright(node, FAN_BITS).cast("int")
+
+
+def _word_digests(w: DataFrame, spaces: tuple[str, ...]) -> DataFrame:
+    return w.where(F.col("bits") != 0).groupBy("node").agg(_digest(*(F.col(c) for c in spaces), F.col("word"), F.col("bits")).alias("digest"))
+
+
+def _new_tree(saved: DataFrame | None, changed: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The tree with the digests of ``changed`` leaves replaced by those of ``leaves``; the levels above follow. Of fixed size."""
+    if saved is not None:
+        old = saved.where(F.col("level") == 0).select("node", "digest").join(F.broadcast(changed), "node", "left_anti")
+        leaves = leaves.unionByName(old)
+    return tree(leaves, (), LEVELS)
+
+
+def _differing(store: RunStore, digests: DataFrame, commit: dict | None) -> tuple[DataFrame, list[int], DataFrame | None]:
+    """The leaves at which the tree over ``digests`` differs from the saved one, the buckets they lie in, and the saved tree."""
+    saved = store.state("tree", commit=commit)
+    if saved is None:
+        leaves = cut(digests.select("node"))
+    else:
+        leaves = cut(changed_leaves(cut(tree(digests, (), LEVELS)), saved, (), LEVELS))  # at most 65536 rows
+    buckets = sorted(r[0] for r in leaves.select(_bucket()).distinct().collect())  # at most 256
+    return leaves, buckets, saved
+
+
+def run_words(store: RunStore, now: DataFrame, spaces: tuple[str, ...], number: str, process: Callable[[DataFrame], DataFrame], appended: bool = False) -> dict:
+    """One run over words. ``process`` gets (spaces, number) of what no earlier run had; its output, the words and the tree are published together.
+
+    ``now`` is read several times: give a written table. It holds all records' words, whose tree is compared with the saved one; or,
+    with ``appended``, those of the records that came since, whose leaves are the ones that can differ. In both cases saved words are
+    read from, and written to, the buckets of differing leaves only. Numbers that are gone from the records stay processed.
+    """
+    placed = now.select(*spaces, "word", "bits", _position(spaces).alias("node"))
+    commit = store.last()
+    if appended:
+        leaves = cut(placed.select("node").distinct())
+        buckets, saved_tree = sorted(r[0] for r in leaves.select(_bucket()).distinct().collect()), store.state("tree", commit=commit)
+    else:
+        leaves, buckets, saved_tree = _differing(store, _word_digests(placed, spaces), commit)
+    mine = placed.join(F.broadcast(leaves), "node", "left_semi")
+    saved = store.state("words", buckets, commit)
+    saved = saved if saved is not None else placed.limit(0)
+    draft = store.draft()
+    draft.keep(process(fresh_numbers(mine.drop("node"), saved.join(F.broadcast(leaves), "node", "left_semi").drop("node"), spaces, number)), "output")
+    merged = cut(saved.select(*placed.columns).unionByName(mine).groupBy(*spaces, "word", "node").agg(F.bit_or("bits").alias("bits")))
+    fresh_leaves = _word_digests(merged.join(F.broadcast(leaves), "node", "left_semi"), spaces)
+    state = {"tree": _new_tree(saved_tree, leaves, fresh_leaves).coalesce(1)}
+    return store.publish_parts({}, state, buckets={"words": (merged.withColumn("bucket", _bucket()), buckets)}, draft=draft)
+
 
 def run_numbered(store: RunStore, records: DataFrame, spaces: tuple[str, ...], number: str, process: Callable[[DataFrame], DataFrame]) -> dict:
-    """One run over numbered records: ``process`` gets (spaces, number) of what is new since the last committed run; its output and the new words are published together."""
-    now = cut(words(records, spaces, number))
-    saved = store.state()
-    saved = saved if saved is not None else now.limit(0)
-    return store.publish(process(new_numbers(now, saved, spaces, number)), merge_words(now.unionByName(saved), spaces))
+    """One run over all numbered records: see :func:`run_words`."""
+    return run_words(store, cut(words(records, spaces, number)), spaces, number, process)
+
+
+def run_appended(store: RunStore, batch: DataFrame, spaces: tuple[str, ...], number: str, process: Callable[[DataFrame], DataFrame]) -> dict:
+    """One run over the records that were delivered since the last committed one, older ones among them or not: see :func:`run_words`."""
+    return run_words(store, cut(words(batch, spaces, number)), spaces, number, process, appended=True)
 
 
 def run_keyed(store: RunStore, records: DataFrame, keys: tuple[str, ...], content: tuple[str, ...], process: Callable[[DataFrame, DataFrame], DataFrame]) -> dict:
-    """One run over keyed records: ``process`` gets the added and changed records, and (key_hash, change) with the removed keys."""
-    now = cut(key_index(records, keys, content))
-    saved = store.state()
-    changes = cut(record_changes(now, saved if saved is not None else now.limit(0)))
-    fresh = records.withColumn("__key_hash", F.xxhash64(*(F.col(k) for k in keys))).join(changes.where(F.col("change") != "removed").select(F.col("key_hash").alias("__key_hash")), "__key_hash", "left_semi").drop("__key_hash")
-    return store.publish(process(fresh, changes), now)
+    """One run over keyed records: ``process`` gets the added and changed records, and (key_hash, change) with the removed keys.
+
+    The records that go out are read once and kept, and the digests that are published for them are computed from what was kept, so a
+    record that changes during the run goes out again in the next one. Saved digests are read from differing buckets only.
+    """
+    commit = store.last()
+    now = cut(key_index(records, keys, content, LEVELS * FAN_BITS))
+    leaves, buckets, saved_tree = _differing(store, index_leaves(now), commit)
+    mine = now.join(F.broadcast(leaves), "node", "left_semi")
+    saved = store.state("index", buckets, commit)
+    saved = saved if saved is not None else now.limit(0)
+    changes = cut(compare_indexes(mine, saved.join(F.broadcast(leaves), "node", "left_semi")))
+    out = changes.where(F.col("change") != "removed").select(F.col("key_hash").alias("__key_hash"))
+    fresh = cut(records.withColumn("__key_hash", key_hash(keys)).join(out, "__key_hash", "left_semi").drop("__key_hash"))
+    draft = store.draft()
+    draft.keep(process(fresh, changes), "output")
+    index = cut(mine.join(changes, "key_hash", "left_anti").select(*now.columns).unionByName(key_index(fresh, keys, content, LEVELS * FAN_BITS)))
+    state = {"tree": _new_tree(saved_tree, leaves, index_leaves(index)).coalesce(1)}
+    others = saved.select(*now.columns).join(F.broadcast(leaves), "node", "left_anti")
+    return store.publish_parts({}, state, buckets={"index": (others.unionByName(index).withColumn("bucket", _bucket()), buckets)}, draft=draft)

@@ -58,6 +58,22 @@ own AS (SELECT name, day, COUNT(*) AS n_rows, COUNT(value) AS n, COALESCE(SUM(va
 filled AS (SELECT d.name, d.day, COALESCE(n_rows, 0) AS n_rows, COALESCE(n, 0) AS n, COALESCE(total, 0) AS total FROM days d LEFT JOIN own o ON d.name = o.name AND d.day = o.day)
 """
 
+# the live form: micro-batches of 240 batch ids
+_MICRO = """
+limited AS (
+  SELECT s.*, batch_id // 240 AS micro, l.out_of_orderness_millis AS delay, l.window_size_millis AS size, l.allowed_lateness_millis AS allowed
+  FROM stream_table s LEFT JOIN bounded_out_of_orderness_watermarks l ON s.job_id = l.job_id)
+"""
+
+_LIVE = f"""{_MICRO},
+micros AS (SELECT DISTINCT micro FROM limited),
+per_micro AS (SELECT j.job_id, m.micro, MAX(CASE WHEN l.micro = m.micro THEN l."timestamp" END) AS mark FROM (SELECT DISTINCT job_id FROM limited) j, micros m LEFT JOIN limited l ON l.job_id = j.job_id AND l.micro = m.micro GROUP BY ALL),
+after AS (SELECT job_id, micro, MAX(mark) OVER (PARTITION BY job_id ORDER BY micro) AS mark FROM per_micro),
+before AS (SELECT job_id, micro, MAX(mark) OVER (PARTITION BY job_id ORDER BY micro ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM per_micro),
+placed AS (SELECT r.*, ("timestamp" // size + 1) * size AS e, b.mark - delay - 1 AS w FROM limited r LEFT JOIN before b ON r.job_id = b.job_id AND r.micro = b.micro),
+arrived AS (SELECT *, CASE WHEN e IS NULL THEN 'untimed' WHEN w IS NULL OR e > w THEN 'on_time' WHEN e + allowed > w THEN 'late' ELSE 'diverted' END AS arrival FROM placed)
+"""
+
 _FOLD = "CAST(SUM(value) AS BIGINT) AS sum_value, MAX(value) AS max_value, MIN(value) AS min_value, COUNT(*) AS row_count"
 
 SQL = {
@@ -85,14 +101,33 @@ SQL = {
           SELECT p.job_id, p.e, p.allowed, l.mark - p.delay - 1 AS w FROM placed p LEFT JOIN lows l ON p.job_id = l.job_id AND p.batch_id = l.batch_id)
         SELECT job_id, CASE WHEN e IS NULL THEN 'untimed' WHEN w IS NULL OR e > w THEN 'on_time' WHEN e + allowed > w THEN 'late' ELSE 'diverted' END AS arrival, COUNT(*) AS n
         FROM judged GROUP BY ALL""",
+    "p2_live_windows": f"""WITH {_LIVE}, named AS (SELECT * FROM arrived WHERE name IS NOT NULL AND name <> '' AND arrival IN ('on_time', 'late'))
+        SELECT job_id, name, CAST(e - size AS BIGINT) AS window_start, CAST(e AS BIGINT) AS window_end, {_FOLD},
+          COUNT(DISTINCT CASE WHEN arrival = 'late' AND micro > COALESCE(first_fired, 1000000) THEN micro END) AS corrections
+        FROM (SELECT n.*, MIN(micro) OVER (PARTITION BY job_id, name, e) AS shown,
+            GREATEST(MIN(micro) OVER (PARTITION BY job_id, name, e), (SELECT MIN(a.micro) FROM after a WHERE a.job_id = n.job_id AND a.mark - n.delay - 1 >= n.e)) AS first_fired FROM named n)
+        GROUP BY job_id, name, e, size""",
+    "p2_live_arrivals": f"""WITH {_MICRO},
+        task_marks AS (SELECT job_id, task_number, micro, MAX("timestamp") AS mark FROM limited WHERE "timestamp" IS NOT NULL AND job_id IS NOT NULL GROUP BY ALL),
+        asked AS (SELECT j.job_id, m.micro FROM (SELECT DISTINCT job_id FROM task_marks) j, (SELECT DISTINCT micro FROM limited) m),
+        by_task AS (SELECT a.job_id, a.micro, t.task_number, MAX(t.mark) AS mark, MAX(t.micro) AS seen FROM asked a JOIN task_marks t ON t.job_id = a.job_id AND t.micro < a.micro GROUP BY ALL),
+        lows AS (SELECT job_id, micro, MIN(mark) AS mark FROM (SELECT *, MAX(seen) OVER (PARTITION BY job_id, micro) AS newest FROM by_task) WHERE seen >= LEAST(micro - 2, newest) GROUP BY ALL),
+        low AS (SELECT job_id, micro, MAX(mark) OVER (PARTITION BY job_id ORDER BY micro) AS mark FROM lows),
+        judged AS (SELECT r.row_id, "timestamp" AS ts, ("timestamp" // size + 1) * size AS e, allowed, l.mark - delay - 1 AS w FROM limited r LEFT JOIN low l ON r.job_id = l.job_id AND r.micro = l.micro)
+        SELECT row_id, CASE WHEN e IS NULL THEN 'untimed' WHEN w IS NULL OR e > w THEN 'on_time' WHEN e + allowed > w THEN 'late' ELSE 'diverted' END AS arrival, COALESCE(ts < w, FALSE) AS below FROM judged""",
     "p3_found": f'WITH {_SAVED} SELECT topic, "partition", "offset" FROM pending',
     "p3_saved_offsets": f'WITH {_SAVED} SELECT topic, "partition", saved FROM saved',
     "p3_pending_messages": f'WITH {_SAVED} SELECT topic, "partition", "offset", delivery_id FROM pending',
-    "p3_changed_records": """WITH a AS (SELECT range_id, begin_offset, end_offset FROM consumer_range WHERE begin_offset > 400),
-        b AS (SELECT range_id, begin_offset, CASE WHEN assigned_at >= TIMESTAMPTZ '2015-01-21 00:00:00+00' THEN NULL ELSE end_offset END AS end_offset FROM consumer_range WHERE assigned_at < TIMESTAMPTZ '2015-01-25 00:00:00+00')
-        SELECT CASE WHEN b.range_id IS NULL THEN 'added' WHEN a.range_id IS NULL THEN 'removed' ELSE 'changed' END AS change, COUNT(*) AS n
-        FROM a FULL JOIN b ON a.range_id = b.range_id
-        WHERE a.range_id IS NULL OR b.range_id IS NULL OR a.begin_offset IS DISTINCT FROM b.begin_offset OR a.end_offset IS DISTINCT FROM b.end_offset GROUP BY 1""",
+    "p3_changed_states": f"""WITH
+        {', '.join(f"{t} AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY application_name, application_id, job_id, task_number, operator_id ORDER BY checkpoint_id DESC, id DESC) AS rn FROM rlink_ck WHERE {c}) WHERE rn = 1)" for t, c in (('old', 'checkpoint_id <= 1421798400000'), ('new', 'TRUE')))}
+        SELECT n.application_name, n.application_id, n.job_id, n.task_number, n.operator_id, n.checkpoint_id, n.completed_checkpoint_id, n.handle,
+          CASE WHEN o.id IS NULL THEN 'added' ELSE 'changed' END AS change
+        FROM new n LEFT JOIN old o ON n.application_name = o.application_name AND n.application_id = o.application_id AND n.job_id = o.job_id AND n.task_number = o.task_number AND n.operator_id = o.operator_id
+        WHERE o.id IS NULL OR (n.checkpoint_id, n.completed_checkpoint_id, n.handle) IS DISTINCT FROM (o.checkpoint_id, o.completed_checkpoint_id, o.handle)""",
+    "p3_appended": """WITH span AS (SELECT MIN(batch_id) AS lo, MAX(batch_id) + 1 AS hi FROM kafka_message),
+        d AS (SELECT c.topic, c."partition", m."offset", BOOL_AND(m.batch_id >= lo + (hi - lo) * 4 // 5) AS fresh
+          FROM kafka_message m JOIN consumer_range c ON m.range_id = c.range_id, span WHERE m."offset" IS NOT NULL GROUP BY ALL)
+        SELECT topic, "partition", "offset" FROM d WHERE fresh""",
     "p4_found": "SELECT name FROM stream_table WHERE name <> '' GROUP BY name HAVING COUNT(*) * 100 >= (SELECT COUNT(*) FROM stream_table)",
     "p4_per_name": "SELECT name, COUNT(*) AS row_count, COUNT(value) AS value_count, CAST(SUM(value) AS BIGINT) AS sum_value, MAX(value) AS max_value, MIN(value) AS min_value FROM stream_table GROUP BY name",
     "p5_found": """SELECT c.topic, c."partition", m."offset" FROM kafka_message m JOIN consumer_range c ON m.range_id = c.range_id
@@ -100,6 +135,7 @@ SQL = {
     "p5_unique": """SELECT MIN(m.delivery_id) AS delivery_id FROM kafka_message m JOIN consumer_range c ON m.range_id = c.range_id
         GROUP BY c.topic, c."partition", m."offset", CASE WHEN m."offset" IS NULL THEN m."key" END, CASE WHEN m."offset" IS NULL THEN m.payload END, CASE WHEN m."offset" IS NULL THEN m."timestamp" END""",
     "p6_found": f"WITH {_DAYS} SELECT name, STRFTIME(DATE '1970-01-01' + CAST(day AS INTEGER), '%Y-%m-%d') AS day FROM filled WHERE n_rows = 0",
+    "p6_undated": """SELECT name, 'untimed' AS reason, COUNT(*) AS "rows", COUNT(value) AS n, CAST(SUM(value) AS BIGINT) AS total FROM stream_table WHERE "timestamp" IS NULL GROUP BY name""",
     "p6_rolling": f"""WITH {_DAYS} SELECT name, STRFTIME(DATE '1970-01-01' + CAST(day AS INTEGER), '%Y-%m-%d') AS day, n_rows AS rows_today,
         {', '.join(f"CAST(SUM(total) OVER w{k} AS BIGINT) AS total_{k}d, CAST(SUM(n) OVER w{k} AS BIGINT) AS n_{k}d, CAST(SUM(total) OVER w{k} AS DOUBLE) / NULLIF(SUM(n) OVER w{k}, 0) AS avg_{k}d" for k in (7, 30))}
         FROM filled WINDOW w7 AS (PARTITION BY name ORDER BY day ROWS 6 PRECEDING), w30 AS (PARTITION BY name ORDER BY day ROWS 29 PRECEDING)""",

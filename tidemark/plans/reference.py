@@ -391,11 +391,18 @@ def watermark_late_drop_model(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_hop_sql(_MODEL, "name", _four_sql("value"), DAY, DAY // 2))
 def stream_hop(spark: SparkSession, d: str) -> DataFrame:
-    """The same windows on a stream over the table's files, run to the end of its input."""
+    """The same windows on a stream over the table's files in append mode: what the watermark closes, then, at the end of the input, the rest."""
     rows = spark.readStream.schema(table(spark, d, "stream_table").schema).parquet(f"{d}/stream_table.parquet*").select("timestamp", "name", "value")
-    windowed = Stream(rows).assign_timestamps(bounded(1000)).key_by("name").window(windows.hop(DAY, DAY // 2)).reduce(*_four("value"))
     at = scratch(spark)
-    return runner.drain_complete(windowed.df, f"{at}/result", f"{at}/checkpoint")
+    closing = f"{at}/closing"
+    schema = rows.schema
+    spark.createDataFrame([], schema).write.parquet(closing)
+    both = rows.unionByName(spark.readStream.schema(schema).parquet(closing))
+    windowed = Stream(both).assign_timestamps(bounded(1000)).key_by("name").window(windows.hop(DAY, DAY // 2)).reduce(*_four("value")).df
+    runner.drain_append(windowed, f"{at}/result", f"{at}/checkpoint")
+    last = table(spark, d, "stream_table").agg(F.max("timestamp")).first()[0] or 0
+    runner.sentinel(spark, schema, "timestamp", runner.closing_time(last, 1000, DAY)).write.mode("append").parquet(closing)
+    return runner.without_sentinel(runner.drain_append(windowed, f"{at}/result", f"{at}/checkpoint"), last)
 
 
 @query("""SELECT row_id, STRFTIME(MAKE_TIMESTAMP("timestamp" * 1000), '%Y-%m-%d %H:%M:%S') AS at, STRFTIME(MAKE_TIMESTAMP("timestamp" * 1000) + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS at_cst, "timestamp" - "timestamp" % 60000 AS minute FROM stream_table""")
