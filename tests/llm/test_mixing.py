@@ -89,3 +89,17 @@ def test_tokenizer_sizes(spark):
         m = mixing.Mixer(df, spark.createDataFrame([("a", 1.0, 1)], TARGETS), size=mixing.tokenizer_size(str(tokenizers.path(name))))
         got = {r.doc: r["size"] for r in m.sized.collect()}
         assert got[1] > 4 and got[2] == got[3] == 0
+
+
+def test_token_shares_match_the_tokenizer(spark, corpus):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    docs, df = corpus
+    path = str(tokenizers.path("byte_bpe_50k.json"))
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    targets = spark.createDataFrame([("web", 0.5, 2), ("book", 0.5, 1)], TARGETS)
+    plan = {r.source: r for r in mixing.Mixer(df, targets, size=mixing.tokenizer_size(path)).plan().collect()}
+    for name in ("web", "book"):
+        assert plan[name].available == sum(len(tok.encode(t, add_special_tokens=False).ids) for _, s, t in docs if s and t and s.strip().lower() == name)

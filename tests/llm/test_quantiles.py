@@ -103,3 +103,21 @@ def test_a_task_folds_in_bounded_pieces(spark, monkeypatch):
     d = [(f"k{i % 7}", i) for i in range(1000)]
     got = {r.k: (r.n, r.p50) for r in q.percentiles(spark.createDataFrame(d, "k string, v bigint").coalesce(1), ["k"], "v").collect()}
     assert got == {f"k{j}": (len(x), exact(x, 0.5)) for j in range(7) for x in [[i for i in range(1000) if i % 7 == j]]}
+
+
+def test_a_large_group_leaves_a_task_as_one_state(spark, monkeypatch):
+    monkeypatch.setattr(q, "FLUSH", 200)
+    d = [("hot", i % 150) for i in range(2000)] + [(f"k{i}", i) for i in range(2000)]
+    random.Random(4).shuffle(d)
+    df = spark.createDataFrame(d, "k string, v bigint").coalesce(1)
+    states = q.summarise(df, ["k"], "v")
+    assert states.where("k = 'hot'").count() == 1
+    got = {r.k: (r.n, r.p50) for r in q.merge(states, ["k"], probs=(0.5,)).collect()}
+    assert got["hot"] == (2000, exact([x for k, x in d if k == "hot"], 0.5)) and len(got) == 2001
+
+
+def test_every_group_is_sketched_if_asked(spark):
+    df = spark.createDataFrame([("a", i) for i in range(500)] + [("b", 3)], "k string, v bigint")
+    got = {r.k: r for r in q.percentiles(df, ["k"], "v", (0.5,), sk=q.Sketch(sparse_limit=0)).collect()}
+    assert not got["a"].exact and not got["b"].exact and got["b"].p50 == 3
+    assert abs(got["a"].p50 - 249) <= q.Sketch().rank_error * 500 + 1

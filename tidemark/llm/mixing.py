@@ -82,28 +82,30 @@ class Mixer:
         self.spark, self.seed = documents.sparkSession, seed
         self.names = {r["k"]: r["source"] for r in rows}
         self.listed = F.broadcast(self.spark.createDataFrame([(k,) for k in self.names], "source string"))
-        hashed = F.xxhash64(F.lit(seed), F.col(doc).cast("string"))
-        u = F.shiftrightunsigned(hashed, 11).cast("double") * 2.0**-53  # even over [0, 1)
+        hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc).cast("string"), F.lit("null"))))
+        u = F.conv(F.substring(hashed, 1, 13), 16, 10).cast("bigint").cast("double") * 2.0**-52  # even over [0, 1), the same on any engine
         self.sized = cut(documents.select(F.col(doc).alias("doc"), source_key(F.col(source)).alias("source"), size(F.col(text)).alias("size"), u.alias("u")).join(self.listed, "source", "left_semi"))
-        # what is combined and brought to the driver: at most STEPS numbers a listed source
-        steps = self.sized.groupBy("source", F.floor(F.col("u") * STEPS).cast("int").alias("step")).agg(F.sum("size").alias("size")).collect()
-        self.steps: dict[str, list[int]] = {k: [0] * STEPS for k in self.names}
-        for r in steps:
-            self.steps[r["source"]][r["step"]] += r["size"]
-        self.shares = water_fill([(r["k"], r["target_share"], r["max_repeats"]) for r in rows], {k: sum(v) for k, v in self.steps.items()}, total)
-
-    def _threshold(self, s: Share) -> tuple[int, float]:
-        """Whole repetitions, and the u below which a document is taken once more: where the sizes in order of u reach the rest."""
-        whole = min(s.max_repeats, math.floor(s.repeats))
-        rest = s.amount - whole * s.available
-        if rest <= 0 or whole >= s.max_repeats:
-            return whole, 0.0
-        run = 0
-        for i, n in enumerate(self.steps[s.source]):
-            if run + n >= rest and n:
-                return whole, (i + (rest - run) / n) / STEPS
-            run += n
-        return whole, 1.0
+        # combined before any shuffle: at most STEPS rows a source and task
+        step = F.floor(F.col("u") * STEPS).cast("int")
+        self.steps = cut(self.sized.groupBy("source", step.alias("step")).agg(F.sum("size").alias("size")))
+        available = {k: 0 for k in self.names} | {r["source"]: r["n"] for r in self.steps.groupBy("source").agg(F.sum("size").alias("n")).collect()}  # a row per target
+        self.shares = water_fill([(r["k"], r["target_share"], r["max_repeats"]) for r in rows], available, total)
+
+    def thresholds(self) -> DataFrame:
+        """(source, whole, below): whole repetitions, and the u below which a document is taken once more, where the sizes in order of u
+        reach the rest: the step in which they do is found by running sums over a source's ``STEPS`` steps, and divided evenly."""
+        cuts = []
+        for s in self.shares:
+            whole = min(s.max_repeats, math.floor(s.repeats))
+            rest = s.amount - whole * s.available
+            cuts.append((s.source, whole, float(rest) if rest > 0 and whole < s.max_repeats else 0.0))
+        wanted = F.broadcast(self.spark.createDataFrame(cuts, "source string, whole int, rest double"))  # a row per target
+        run = F.sum("size").over(Window.partitionBy("source").orderBy("step"))
+        reach = self.steps.where(F.col("size") > 0).withColumn("run", run).join(wanted.select("source", "rest"), "source").where((F.col("rest") > 0) & (F.col("run") >= F.col("rest")))
+        first = reach.groupBy("source").agg(F.min(F.struct("step", "run", "size", "rest")).alias("s"))
+        inside = (F.col("s.step") + (F.col("s.rest") - (F.col("s.run") - F.col("s.size"))) / F.col("s.size")) / STEPS
+        at = wanted.join(first.select("source", inside.alias("inside")), "source", "left")
+        return at.select("source", "whole", F.when(F.col("rest") > 0, F.coalesce("inside", F.lit(1.0))).otherwise(0.0).alias("below"))
 
     def plan(self) -> DataFrame:
         """(source, target_share, max_repeats, available, amount, repeats, short): one row per target, named as given."""
@@ -112,8 +114,7 @@ class Mixer:
 
     def chosen(self) -> DataFrame:
         """(doc, source, copy, size): a row for each copy taken, ``copy`` from 1. The same seed takes the same copies, in any partitioning."""
-        cuts = [(s.source, *self._threshold(s)) for s in self.shares]
-        at = F.broadcast(self.spark.createDataFrame(cuts, "source string, whole int, below double"))
+        at = F.broadcast(self.thresholds())  # a row per target
         n = F.col("whole") + F.when(F.col("u") < F.col("below"), 1).otherwise(0)
         taken = self.sized.join(at, "source").withColumn("n", n).where(F.col("n") > 0)
         return taken.select("doc", "source", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"), "size")
@@ -121,11 +122,11 @@ class Mixer:
     def reached(self) -> DataFrame:
         """(source, target_share, copies, size, share): the shares actually reached by :meth:`chosen`; one row per target."""
         got = self.chosen().groupBy("source").agg(F.count(F.lit(1)).alias("copies"), F.sum("size").alias("size"))
-        total = F.sum("size").over(Window.partitionBy(F.lit(0)))  # over one row per target
         listed = self.spark.createDataFrame([(k, n) for k, n in self.names.items()], "source string, name string")
         plan = self.spark.createDataFrame([(s.source, s.target) for s in self.shares], "source string, target_share double")
         rows = plan.join(listed, "source").join(got, "source", "left").select(F.col("name").alias("source"), "target_share", F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("size", F.lit(0)).alias("size"))
-        return rows.select("*", F.when(total > 0, F.col("size") / total).otherwise(F.lit(0.0)).alias("share"))
+        rows = cut(rows)  # a row per target
+        return rows.join(F.broadcast(rows.agg(F.sum("size").alias("__all")))).select(*rows.columns, F.when(F.col("__all") > 0, F.col("size") / F.col("__all")).otherwise(F.lit(0.0)).alias("share"))
 
 
 def tokenizer_size(path: str) -> Callable[[Column], Column]:

@@ -10,8 +10,10 @@ A state is a vector of (cell, count) entries. While a group shows at most ``spar
 themselves, which is exact; beyond that they are the sketch's counters, of which there are a fixed number. Both are linear: states of
 one kind merge by adding equal cells, codes turn into counters at any time, and a deletion is an entry of weight -1.
 
-Stated error: within ``sparse_limit`` codes none but the code's; beyond, the rank of a returned value is off by at most
-``Sketch.rank_error`` of the group's rows with probability 0.99.
+``sparse_limit`` is the caller's choice: 0 sketches every group, a large one is exact where that takes no more room than counters. The
+result says of each group which it got (``exact``). Stated error: of exact groups none but the code's; of sketched groups the rank of a
+returned value is off by at most ``Sketch.rank_error`` of the group's rows with probability 0.99, for groups of 256 codes and more
+(in smaller ones single rows are a larger share than that, so keep those exact).
 """
 
 from __future__ import annotations
@@ -236,7 +238,8 @@ def summarise(df: DataFrame, keys: Sequence[str], value: str, weight: str | None
 
     ``value`` is any numeric column; null and NaN values are skipped. ``weight`` is a column of whole numbers, 1 for a row that
     is added and -1 for one that is taken back; null counts as 0. Null keys are a group. Only the named columns are read.
-    A task holds at most ``FLUSH`` rows at a time, whatever its share of the rows.
+    A task holds at most ``FLUSH`` rows and ``4 * FLUSH`` entries of states at a time, whatever its share of the rows. Where it has to
+    give some away before its end, large groups stay, so that a group with many rows leaves a task as one state.
     """
     cols = list(keys)
     rows = df.select(*cols, F.col(value).cast("double").alias("__value"), (F.coalesce(F.col(weight).cast("bigint"), F.lit(0)) if weight else F.lit(1).cast("bigint")).alias("__weight"))
@@ -244,18 +247,42 @@ def summarise(df: DataFrame, keys: Sequence[str], value: str, weight: str | None
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
+        states: pa.Table | None = None
         for b in batches:
             held.append(b)
             n += b.num_rows
             if n >= FLUSH:
-                yield from _batches(_from_values(sk, pa.Table.from_batches(held), cols), 2000)
+                states = _together(states, _from_values(sk, pa.Table.from_batches(held), cols))
                 held, n = [], 0
+                if _entries(states) > 4 * FLUSH:
+                    out, states = _divide(_from_states(sk, states, cols))
+                    yield from _batches(out, 2000)
         if n:
-            yield from _batches(_from_values(sk, pa.Table.from_batches(held), cols), 2000)
+            states = _together(states, _from_values(sk, pa.Table.from_batches(held), cols))
+        if states is not None:
+            yield from _batches(_from_states(sk, states, cols) if len(states["cells"].chunks) > 1 else states, 2000)
 
     return rows.mapInArrow(fold, T.StructType(_state_fields(rows, cols)))
 
 
+def _together(states: pa.Table | None, more: pa.Table) -> pa.Table:
+    return more if states is None else pa.concat_tables([states, more])
+
+
+def _entries(states: pa.Table) -> int:
+    return sum(len(c.flatten()) for c in states["cells"].chunks)
+
+
+def _divide(states: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """What a full task passes on, and what it keeps: the largest groups, up to ``FLUSH`` entries."""
+    size = pc.list_value_length(states["cells"]).to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.argsort(-size, kind="stable")
+    stays = np.zeros(len(size), dtype=bool)
+    stays[order[np.cumsum(size[order]) <= FLUSH]] = True
+    stays &= size > FLUSH >> 10
+    return states.filter(pa.array(~stays)), states.filter(pa.array(stays))
+
+
 def _merged(sk: Sketch, cols: list[str], probs: Sequence[float] | None):
     """A function for mapInArrow over states that are sorted by key: one state, or one row of percentiles, per key."""
 
@@ -290,7 +317,7 @@ def _merged(sk: Sketch, cols: list[str], probs: Sequence[float] | None):
 def _rounds(df: DataFrame, fan_in: int) -> int:
     """How many rounds of merging keep a task from getting more than about ``fan_in`` states of a group.
 
-    A group has at most one state per task, so the number of tasks counts: of files by their size, else the partitions there are.
+    A large group has one state per task, so the number of tasks counts: of files by their size, else the partitions there are.
     """
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -301,14 +328,14 @@ def _rounds(df: DataFrame, fan_in: int) -> int:
     return max(1, math.ceil(math.log(max(2.0, tasks)) / math.log(fan_in)))
 
 
-def merge(states: DataFrame, keys: Sequence[str], sk: Sketch = Sketch(), rounds: int = 1, probs: Sequence[float] | None = None, fan_in: int = 64) -> DataFrame:
+def merge(states: DataFrame, keys: Sequence[str], sk: Sketch = Sketch(), rounds: int | None = None, probs: Sequence[float] | None = None, fan_in: int = 64) -> DataFrame:
     """One state per group, or its percentiles if ``probs`` are given: (keys, n, exact, p50, ...).
 
-    With several rounds the states of a group are first merged under ``fan_in``^k salts, so that a group with states from every
+    With several rounds, as many as the number of tasks that give states asks for, the states of a group are first merged under ``fan_in``^k salts, so that a group with states from every
     task of a very large input isn't gathered in one task. ``states`` may hold states of any number of days or runs.
     """
     cols = list(keys)
-    for r in range(rounds - 1, 0, -1):
+    for r in range((_rounds(states, fan_in) if rounds is None else rounds) - 1, 0, -1):
         salted = states.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(fan_in**r)))
         salted = salted.repartition(*cols, "__salt").sortWithinPartitions(*cols, "__salt")
         fields = _state_fields(salted, [*cols, "__salt"])
