@@ -36,7 +36,7 @@ def case(seed):
     return docs + [(900, None), (901, ""), (902, "?!"), (0, docs[0][1])], items
 
 
-@pytest.mark.parametrize(("seed", "rows"), [(0, 200_000), (1, 0)])
+@pytest.mark.parametrize(("seed", "rows"), [(0, 200_000), (1, 0), (2, 250)])
 def test_pairs_match_brute_force(spark, seed, rows):
     docs, items = case(seed)
     d = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 as words", "2 as h", "3 as item", "4 as start")

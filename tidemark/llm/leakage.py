@@ -6,11 +6,15 @@ to look the document's shingles up against a prefix of the item's: of each windo
 fixes where the window must begin; the bounds of the document rule out windows that don't fit, and the others are compared word by
 word. The rarity is counted over the whole corpus, not sampled.
 
-Items are the stated query set, met by every document; they are broadcast only after a count, else both sides are shuffled by shingle.
+Items are the stated query set, met by every document. The corpus is read and cut into words once: what meets a shingle of the items is
+kept with the words around it, and counted, joined to the prefixes and verified there. The items' shingles are broadcast in blocks of
+checked size; for more than ``MAX_BLOCKS`` of these both sides are shuffled by shingle, and only pages with a prefix are read again.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +23,8 @@ from tidemark.session import broadcast_within, cut
 
 WINDOW = 13
 SHINGLE = 5
+#: Broadcast blocks of item shingles, each of which costs a pass over the corpus.
+MAX_BLOCKS = 4
 
 
 def _shingle_at(tokens: Column, at: Column, n: int) -> Column:
@@ -67,24 +73,29 @@ def matched_windows(documents: DataFrame, items: DataFrame, *, doc: str = "doc_i
     if not sizes:
         return docs.join(windows, F.lit(False)).select("doc", "item", "start")
     shingles = cut(window_shingles(windows, shingle))
-    known = broadcast_within(cut(shingles.select("h").distinct()), max_broadcast_rows)
-    counted = _document_shingles(docs, sizes).select("h").join(known, "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("times"))
+    known = cut(shingles.select("h").distinct())
+    blocks = -(-known.count() // max_broadcast_rows) if max_broadcast_rows else MAX_BLOCKS + 1
+    spots = _document_shingles(docs, sizes)
+    lo = F.greatest(F.lit(0), F.col("at") - (window - 1))
+    if blocks <= MAX_BLOCKS:
+        around = [(F.col("at") - lo).alias("at"), F.slice("words", lo + 1, F.lit(2 * window - 1)).alias("near")]
+        block = F.pmod(F.xxhash64("h"), F.lit(max(1, blocks)))
+        parts = [spots.join(F.broadcast(known.where(block == i)), "h").select("doc", "h", *around) for i in range(max(1, blocks))]
+        hits = cut(reduce(lambda a, b: a.unionByName(b), parts))
+    else:  # rows of a shingle that a large part of the corpus has are split by AQE
+        hits = cut(spots.select("doc", "h", "at").join(known, "h"))
+    counted = hits.groupBy("h").agg(F.count(F.lit(1)).alias("times"))
     # a shingle that is nowhere in the corpus: its windows are in no document
-    rarest = shingles.join(cut(counted), "h").groupBy("wid").agg(F.count(F.lit(1)).alias("present"), F.max("of").alias("of"), F.min(F.struct("times", "h", "k")).alias("r"))
+    rarest = shingles.join(counted, "h").groupBy("wid").agg(F.count(F.lit(1)).alias("present"), F.max("of").alias("of"), F.min(F.struct("times", "h", "k")).alias("r"))
     prefix = cut(rarest.where(F.col("present") == F.col("of")).join(windows, "wid").select("r.h", "r.k", "item", "start", "window"))
-    small = prefix.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
-    spots = _document_shingles(docs, sizes)
-    if small:
-        begin = F.col("at") - F.col("k")
-        hits = spots.join(F.broadcast(prefix), "h").where((begin >= 0) & (begin + F.size("window") <= F.size("words")))
-        found = hits.where(F.slice("words", begin + 1, F.size("window")) == F.col("window"))
+    begin = F.col("at") - F.col("k")
+    if blocks <= MAX_BLOCKS:
+        met = hits.join(broadcast_within(prefix, max_broadcast_rows), "h")
     else:
-        # the words around a shingle travel with it, so that the match is verified where the shuffle brings it
-        lo = F.greatest(F.lit(0), F.col("at") - (window - 1))
-        around = spots.select("doc", "h", (F.col("at") - lo).alias("at"), F.slice("words", lo + 1, F.lit(2 * window - 1)).alias("near"))
-        begin = F.col("at") - F.col("k")
-        hits = around.join(prefix, "h").where((begin >= 0) & (begin + F.size("window") <= F.size("near")))
-        found = hits.where(F.slice("near", begin + 1, F.size("window")) == F.col("window"))
+        begins = hits.join(prefix, "h").where(begin >= 0)
+        met = docs.join(begins, "doc").withColumnRenamed("words", "near")
+    inside = met.where((begin >= 0) & (begin + F.size("window") <= F.size("near")))
+    found = inside.where(F.slice("near", begin + 1, F.size("window")) == F.col("window"))
     return found.select("doc", "item", "start").distinct()
 
 
