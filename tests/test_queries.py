@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__
 from sql_compare import DATA, database, same
-from tidemark.plans import general, general_sql, reference
+from tidemark.plans import connectors, general, general_sql, live, reference
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -17,9 +17,13 @@ def con():
     return database()
 
 
-@pytest.mark.parametrize("name", [*reference.SQL, *general_sql.SQL])
+QUERIES = {**reference.QUERIES, **connectors.REGISTRY.queries, **live.REGISTRY.queries, **general.QUERIES}
+SQL = {**reference.SQL, **connectors.REGISTRY.sql, **live.REGISTRY.sql, **general_sql.SQL}
+
+
+@pytest.mark.parametrize("name", SQL)
 def test_query_equals_sql(spark, con, name):
-    same(spark, con, {**reference.QUERIES, **general.QUERIES}[name], {**reference.SQL, **general_sql.SQL}[name])
+    same(spark, con, QUERIES[name], SQL[name])
 
 
 def test_entry_and_names(spark):

@@ -29,6 +29,7 @@ class LateSpec:
     without a timed row in so many batches no longer holds the watermark back (None: it always does). ``monotone``: with several
     sources the low mark never falls, so a closed period stays closed when a source returns or first appears behind it, or when all
     are idle; without it each batch has the plain smallest mark of the sources that are not idle, and none where all are.
+    ``expected``: a group has no watermark before so many of its sources have shown a time.
     """
 
     group: str = "job_id"
@@ -40,6 +41,7 @@ class LateSpec:
     lateness: str = "allowed_lateness_millis"
     idle_batches: int | None = None
     monotone: bool = False
+    expected: int = 1
     max_broadcast_rows: int = 500_000
 
 
@@ -69,10 +71,10 @@ def low_watermarks(marks: DataFrame, spec: LateSpec = LateSpec()) -> DataFrame:
     until = F.coalesce(F.lead("__at").over(by_source), F.col("__last"))
     steps = own.select(spec.group, F.col(spec.batch).alias("__seen"), "__at", F.max("mark").over(by_source.rowsBetween(Window.unboundedPreceding, 0)).alias("mark"), until.alias("__until"))
     holds = steps.where(F.col("__until") > F.col("__at")).select(spec.group, "__seen", "mark", F.explode(F.sequence(F.col("__at") + 1, F.col("__until"))).alias("__at"))
-    met = holds.join(batches, [spec.group, "__at"])
-    if spec.idle_batches is not None:
-        met = met.where(F.col(spec.batch) - F.col("__seen") <= spec.idle_batches)
-    lows = met.groupBy(spec.group, spec.batch).agg(F.min("mark").alias("mark"))
+    met = holds.join(batches, [spec.group, "__at"])  # a row per batch and source that was seen before it
+    idle = F.lit(False) if spec.idle_batches is None else F.col(spec.batch) - F.col("__seen") > spec.idle_batches
+    lows = met.groupBy(spec.group, spec.batch).agg(F.min(F.when(~idle, F.col("mark"))).alias("mark"), F.count(F.lit(1)).alias("__sources"))
+    lows = lows.where(F.col("mark").isNotNull() & (F.col("__sources") >= spec.expected)).select(spec.group, spec.batch, "mark")
     if not spec.monotone:
         return lows
     carried = F.max("mark").over(by_group.rowsBetween(Window.unboundedPreceding, 0))

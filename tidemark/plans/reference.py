@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import aggregates as A
 from tidemark.functions import histogram, scalars, windows
 from tidemark.operators import late
+from tidemark.plans.registry import Registry
 from tidemark.plans.stream import Stream
 from tidemark.session import scratch, table
 from tidemark.sources import kafka, sinks
@@ -17,23 +16,12 @@ from tidemark.streaming import runner
 from tidemark.streaming.watermarks import bounded
 from tidemark.types import CHECKPOINT_DATA, MODEL
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+REGISTRY = Registry()
+QUERIES, SQL, query = REGISTRY.queries, REGISTRY.sql, REGISTRY.query
 
 HOUR, DAY = 3_600_000, 86_400_000
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 # -- inputs. Money is counted in cents, so that sums don't depend on the order of addition.
 
 _EVENTS = "(SELECT event_id, (EPOCH_US(ts) // 1000) AS t, event_type, user_id, CAST(ROUND(value * 100) AS BIGINT) AS cents, props FROM events)"
@@ -393,16 +381,12 @@ def watermark_late_drop_model(spark: SparkSession, d: str) -> DataFrame:
 def stream_hop(spark: SparkSession, d: str) -> DataFrame:
     """The same windows on a stream over the table's files in append mode: what the watermark closes, then, at the end of the input, the rest."""
     rows = spark.readStream.schema(table(spark, d, "stream_table").schema).parquet(f"{d}/stream_table.parquet*").select("timestamp", "name", "value")
-    at = scratch(spark)
-    closing = f"{at}/closing"
-    schema = rows.schema
-    spark.createDataFrame([], schema).write.parquet(closing)
-    both = rows.unionByName(spark.readStream.schema(schema).parquet(closing))
-    windowed = Stream(both).assign_timestamps(bounded(1000)).key_by("name").window(windows.hop(DAY, DAY // 2)).reduce(*_four("value")).df
-    runner.drain_append(windowed, f"{at}/result", f"{at}/checkpoint")
     last = table(spark, d, "stream_table").agg(F.max("timestamp")).first()[0] or 0
-    runner.sentinel(spark, schema, "timestamp", runner.closing_time(last, 1000, DAY)).write.mode("append").parquet(closing)
-    return runner.without_sentinel(runner.drain_append(windowed, f"{at}/result", f"{at}/checkpoint"), last)
+
+    def build(df: DataFrame) -> DataFrame:
+        return Stream(df).assign_timestamps(bounded(1000)).key_by("name").window(windows.hop(DAY, DAY // 2)).reduce(*_four("value")).df
+
+    return runner.run_to_end(rows, build, scratch(spark), ts="timestamp", last=last, delay=1000, size=DAY)
 
 
 @query("""SELECT row_id, STRFTIME(MAKE_TIMESTAMP("timestamp" * 1000), '%Y-%m-%d %H:%M:%S') AS at, STRFTIME(MAKE_TIMESTAMP("timestamp" * 1000) + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS at_cst, "timestamp" - "timestamp" % 60000 AS minute FROM stream_table""")

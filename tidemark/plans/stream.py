@@ -219,8 +219,9 @@ class Windowed:
         if not isinstance(self.windows, Hop):
             return self._folding(aggs)
         w, strategy, schema = self.windows, self.stream.strategy, self.stream.df.schema
-        rows, ts = self.stream.df, F.col(self.stream.ts)
-        if w.slide > w.size:
+        rows = self.stream.df
+        if w.slide > w.size:  # by the watermarked column, as else the filter goes below it and rows in gaps don't move the watermark
+            ts = F.unix_millis(strategy.event_time)
             rows = rows.where(ts < w.last_start(ts) + w.size)
         exprs = []
         for a in aggs:

@@ -42,6 +42,8 @@ class MarkedStream:
         if self.spec.idle_batches is not None:
             newest = marks.groupBy(g).agg(F.max("seen").alias("newest"))
             active = marks.join(newest, g).where(F.col("seen") >= F.least(F.lit(batch_id - self.spec.idle_batches), F.col("newest")))
+        if self.spec.expected > 1:
+            active = active.join(marks.groupBy(g).agg(F.count(F.lit(1)).alias("sources")).where(F.col("sources") >= self.spec.expected), g, "left_semi")
         return held.unionByName(active.groupBy(g).agg(F.min("mark").alias("mark"))).groupBy(g).agg(F.max("mark").alias("mark"))
 
     def _fresh(self, batch_id: int, query: str | None, last: dict | None) -> bool:

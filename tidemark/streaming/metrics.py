@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections import defaultdict
 from typing import Any
 
@@ -26,6 +27,12 @@ class Meters(StreamingQueryListener):
     def __exit__(self, *_: Any) -> None:
         self.spark.streams.removeListener(self)
 
+    def wait(self, name: str, seconds: float = 30) -> None:
+        """Until the first numbers of ``name`` have arrived: progress is told by another thread."""
+        end = time.monotonic() + seconds
+        while name not in self.latest and time.monotonic() < end:
+            time.sleep(0.05)
+
     def onQueryStarted(self, event: Any) -> None:
         pass
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,3 +61,15 @@ def drain_complete(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
 
     df.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return df.sparkSession.read.parquet(last[0]) if last else df.sparkSession.createDataFrame([], df.schema)
+
+
+def run_to_end(rows: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, *, ts: str, last: int, delay: int, size: int) -> DataFrame:
+    """The windows that ``build`` makes of a stream over bounded input, in append mode and all of them: those that the watermark closes
+    by itself and, after one more row at the :func:`closing_time`, the rest. ``last`` is the latest time (column ``ts``) of the input,
+    ``size`` the windows' size, or their slide where that is longer; ``path`` a fresh folder."""
+    spark, closing = rows.sparkSession, f"{path}/closing"
+    spark.createDataFrame([], rows.schema).write.parquet(closing)
+    windows = build(rows.unionByName(spark.readStream.schema(rows.schema).parquet(closing)))
+    drain_append(windows, f"{path}/result", f"{path}/checkpoint")
+    sentinel(spark, rows.schema, ts, closing_time(last, delay, size)).write.mode("append").parquet(closing)
+    return without_sentinel(drain_append(windows, f"{path}/result", f"{path}/checkpoint"), last)
