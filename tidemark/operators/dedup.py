@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.incremental import RunStore
-from tidemark.session import cut
+from tidemark.session import cut, side_by_side
 
 #: Numbers of one block: what is ordered in one task to merge ranges.
 BLOCK_BITS = 14
@@ -35,23 +35,24 @@ def _block(seq: str) -> Column:
     return F.shiftright(F.col(seq).cast("bigint"), BLOCK_BITS)
 
 
-def place(messages: DataFrame, seen: DataFrame | None, producer: tuple[str, ...], seq: str) -> DataFrame:
-    """``messages`` (one row per producer and number, with first and copies) and the seen ranges of their blocks in one order by number.
+def place(deliveries: DataFrame, seen: DataFrame | None, producer: tuple[str, ...], seq: str) -> DataFrame:
+    """``deliveries`` (producer, number, first, copies; several rows of a message are added up) and the seen ranges, in one order by number.
 
-    Returns (producer, block, lo, hi, first, copies, message, covered, island): a message is covered if a seen range that begins by it
-    reaches it; what touches or overlaps shares an island, a range of the new state. One sort of a block's messages and ranges does both.
+    Returns (producer, block, lo, hi, message, covered, island, first, copies): a message is covered if a seen range that begins by it
+    reaches it; what touches or overlaps shares an island, a range of the new state. One shuffle by block and one sort do all of it.
     """
     n = F.col(seq).cast("bigint")
-    rows = messages.select(*producer, _block(seq).alias("block"), n.alias("lo"), n.alias("hi"), "first", "copies", F.lit(True).alias("message"))
+    rows = deliveries.select(*producer, _block(seq).alias("block"), n.alias("lo"), n.alias("hi"), F.lit(True).alias("message"), "first", "copies")
     if seen is not None:
-        own = seen.join(rows.select(*producer, "block").distinct(), [*producer, "block"], "left_semi")
-        rows = rows.unionByName(own.select(*producer, "block", F.inline("ranges")).withColumn("message", F.lit(False)), allowMissingColumns=True)
-    w = Window.partitionBy(*producer, "block").orderBy("lo", "message")
+        rows = rows.unionByName(seen.select(*producer, "block", F.inline("ranges")).withColumn("message", F.lit(False)), allowMissingColumns=True)
+    by = [*producer, "block"]
+    w = Window.partitionBy(*by).orderBy("lo", "message")
     told = F.max(F.when(~F.col("message"), F.col("hi"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     before = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
     begins = F.when((F.col("lo") <= before) | (F.col("lo") == F.try_add(before, F.lit(1))), 0).otherwise(1)
     both = rows.withColumns({"covered": F.coalesce(told >= F.col("lo"), F.lit(False)), "begins": begins})
-    return both.withColumn("island", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("begins")
+    both = both.withColumn("island", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return both.groupBy(*by, "lo", "hi", "message", "covered", "island").agg(F.min("first").alias("first"), F.sum("copies").alias("copies"))
 
 
 def ranges_of(placed: DataFrame, producer: tuple[str, ...]) -> DataFrame:
@@ -72,16 +73,19 @@ class Seen:
 class Accepted:
     """One run's result.
 
-    ``messages``: (producer, seq, first, copies, covered); ``malformed``: (key, first, copies, covered); ``ranges``: the seen ranges of
-    the blocks that the run touched, as they are after it; ``before``: the ranges before it. The malformed deliveries and the new
-    ranges are computed when they are asked for.
+    ``messages``: (producer, seq, first, copies, covered); ``malformed``: (key, first, copies, covered); ``ranges``: the seen ranges after
+    it. The malformed deliveries and the new ranges are computed when they are asked for.
     """
 
-    placed: DataFrame
+    _placed: Callable[[], DataFrame]
     producer: tuple[str, ...]
     seq: str
     _malformed: Callable[[], DataFrame]
-    before: DataFrame | None = None
+    written: Callable[[DataFrame], DataFrame] = cut
+
+    @cached_property
+    def placed(self) -> DataFrame:
+        return self._placed()
 
     @cached_property
     def messages(self) -> DataFrame:
@@ -91,16 +95,10 @@ class Accepted:
     def malformed(self) -> DataFrame:
         return self._malformed()
 
-    @cached_property
-    def touched(self) -> DataFrame:
-        return cut(ranges_of(self.placed, self.producer))
-
     @cached_property
     def ranges(self) -> DataFrame:
         """The whole state of ranges after the run."""
-        if self.before is None:
-            return self.touched
-        return cut(self.touched.unionByName(self.before.join(self.touched, [*self.producer, "block"], "left_anti").select(*self.touched.columns)))
+        return self.written(ranges_of(self.placed, self.producer))
 
     @property
     def arrivals(self) -> DataFrame:
@@ -119,18 +117,24 @@ class Accepted:
 
 
 def accept_once(
-    deliveries: DataFrame, seen: Seen, *, producer: tuple[str, ...], seq: str, arrival: str, exact_key: Column, copies: str | None = None, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: cut(df)
-) -> Accepted:
+    deliveries: DataFrame, seen: Seen, *, producer: tuple[str, ...], seq: str, arrival: str, exact_key: Column, copies: str | None = None,
+    keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: cut(df), written: Callable[[DataFrame], DataFrame] = cut,
+) -> Accepted:
     """Take one run of deliveries: each number that no seen range covers is accepted once, as its first arrival; then ranges merge.
 
     ``exact_key`` identifies a delivery whose producer or number is null; equal keys are copies. Rows need ``arrival``, a unique,
-    orderable id. Empty input accepts nothing and leaves the state. ``keep`` writes what was computed, messages and malformed deliveries:
-    by default to the checkpoint folder, so a lost executor costs a re-read, and so the lineage doesn't grow with the number of runs.
+    orderable id. Rows that were combined before name their column ``copies``; others are combined map-side. Empty input accepts nothing
+    and leaves the state. ``keep`` writes messages and malformed deliveries, ``written`` the new
+    ranges: by default to the checkpoint folder, so a lost executor costs a re-read, and so the lineage doesn't grow with the number of runs.
     """
     broken = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in (*producer, seq)))
     counts = [copies] if copies else []
     good = deliveries.where(~broken).select(*producer, F.col(seq).cast("bigint").alias(seq), arrival, *counts)
-    placed = keep(place(combine_copies(good, producer, seq, arrival, copies), seen.ranges, producer, seq), "messages")
+    if copies:
+        good = good.withColumnsRenamed({arrival: "first", copies: "copies"})
+    else:
+        good = combine_copies(good, producer, seq, arrival)
+    placed = lambda: keep(place(good, seen.ranges, producer, seq), "messages")
 
     def malformed() -> DataFrame:
         odd = combine_copies(deliveries.where(broken).select(exact_key.alias("key"), arrival, *counts), ("key",), "key", arrival, copies)
@@ -138,11 +142,7 @@ def accept_once(
         judged = odd.withColumn("covered", F.lit(False)) if known is None else odd.join(known, "key", "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
         return keep(judged, "malformed")
 
-    return Accepted(placed, producer, seq, malformed, seen.ranges)
-
-
-def _hash_bucket(*cols: str) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(*cols), 56).cast("int")
+    return Accepted(placed, producer, seq, malformed, written)
 
 
 def run_deliveries(store: RunStore, deliveries: DataFrame, *, producer: tuple[str, ...], seq: str, arrival: str, exact_key: Column, copies: str | None = None, tag: int | None = None) -> Accepted:
@@ -153,15 +153,22 @@ def run_deliveries(store: RunStore, deliveries: DataFrame, *, producer: tuple[st
     """
     commit, draft = store.last(), store.draft()
     broken = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in (*producer, seq)))
-    met = deliveries.select(F.when(~broken, _block(seq)).alias("block"), *producer, F.when(broken, exact_key).alias("key"))
-    met = met.select(F.when(F.col("key").isNull(), _hash_bucket(*producer, "block")).alias("r"), F.when(F.col("key").isNotNull(), _hash_bucket("key")).alias("k")).distinct().collect()  # at most 512
-    ranges, keys = ([*sorted({m[c] for m in met if m[c] is not None})] for c in ("r", "k"))
+    bucket = lambda *cols: F.shiftrightunsigned(F.xxhash64(*cols), 64 - store.bucket_bits).cast("int")
+    met = deliveries.select(F.when(~broken, bucket(*producer, _block(seq))).alias("r"), F.when(broken, bucket(exact_key)).alias("k")).distinct().collect()  # at most 512
+    ranges, keys = (sorted({m[c] for m in met if m[c] is not None}) for c in ("r", "k"))
     seen = Seen(store.state("ranges", ranges, commit), store.state("keys", keys, commit))
-    run = accept_once(deliveries, seen, producer=producer, seq=seq, arrival=arrival, exact_key=exact_key, copies=copies, keep=draft.keep)
-    fresh = run.malformed.where(~F.col("covered")).select("key")
-    all_keys = fresh if seen.keys is None else fresh.unionByName(seen.keys.select("key"))
-    state = {"ranges": (run.ranges.withColumn("bucket", _hash_bucket(*producer, "block")), ranges), "keys": (all_keys.withColumn("bucket", _hash_bucket("key")), keys)}
-    store.publish_parts({}, {}, tag=tag, buckets=state, draft=draft)
+    run = accept_once(deliveries, seen, producer=producer, seq=seq, arrival=arrival, exact_key=exact_key, copies=copies, keep=draft.keep, written=lambda df: df)
+
+    def numbered() -> None:
+        draft.keep_buckets(run.ranges.withColumn("bucket", bucket(*producer, "block")), "ranges", ranges)
+
+    def keyed() -> None:
+        fresh = run.malformed.where(~F.col("covered")).select("key")
+        all_keys = fresh if seen.keys is None else fresh.unionByName(seen.keys.select("key"))
+        draft.keep_buckets(all_keys.withColumn("bucket", bucket("key")), "keys", keys)
+
+    side_by_side(numbered, keyed)
+    store.publish_parts({}, {}, tag=tag, draft=draft)
     return run
 
 

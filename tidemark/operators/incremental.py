@@ -18,7 +18,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import cut
+from tidemark.session import cut, side_by_side
 
 WORD_BITS = 6  # numbers of a word: 64
 LEAF_BITS = 12  # numbers of a leaf: 4096
@@ -165,12 +165,14 @@ class RunStore:
     (which copy) two writers at once need a lock outside; one writer at a time is safe everywhere. What a failed run left is never read.
 
     A part of the state is one table, or is kept in buckets: then a run writes the buckets that it changed and its commit goes on naming
-    the others where they are. State that the last ``keep`` commits don't name is deleted; outputs stay.
+    the others where they are. State that the last ``keep`` commits don't name is deleted; outputs stay. There are 2^``bucket_bits``
+    buckets: more of them let a run read and write less of a large state, at more files; 8 bits are the most.
     """
 
     spark: SparkSession
     path: str
     keep: int = 2
+    bucket_bits: int = 3
 
     def _fs(self):
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
@@ -212,7 +214,7 @@ class RunStore:
         commit = commit or self.last()
         at = commit["parts"].get(name) if commit else None
         if isinstance(at, dict):
-            at = [at[str(b)] for b in (range(BUCKETS) if buckets is None else buckets) if str(b) in at]
+            at = list(at.values()) if buckets is None else [at[str(b)] for b in buckets if str(b) in at]
         return self.spark.read.parquet(*([at] if isinstance(at, str) else at)) if at else None
 
     def publish(self, output: DataFrame, state: DataFrame) -> dict:
@@ -220,28 +222,20 @@ class RunStore:
 
     def publish_parts(
         self, outputs: dict[str, DataFrame], state: dict[str, DataFrame], tag: int | None = None, query: str | None = None,
-        buckets: dict[str, tuple[DataFrame, Sequence[int]]] | None = None, draft: Draft | None = None,
+        draft: Draft | None = None,
     ) -> dict:
-        """Write several outputs and parts of the state, then commit them together. ``tag`` and ``query`` are kept in the commit.
-
-        ``buckets`` gives, for parts kept in buckets, rows with a column ``bucket`` and the buckets that they replace. ``draft`` has
-        outputs that were written before.
-        """
+        """Write several outputs and parts of the state, then commit them together, and with them what was written to ``draft`` before.
+        ``tag`` and ``query`` are kept in the commit."""
         draft = draft or self.draft()
-        last, run, folder = draft.last, draft.run, draft.folder
-        commit = {"run": run, "tag": run if tag is None else tag, "query": query, "outputs": {**draft.outputs, **{k: f"{folder}/{k}" for k in outputs}}, "parts": {k: f"{folder}/state-{k}" for k in state}}
+        run, folder = draft.run, draft.folder
+        commit = {"run": run, "tag": run if tag is None else tag, "query": query}
+        commit["outputs"] = {**draft.outputs, **{k: f"{folder}/{k}" for k in outputs}}
+        commit["parts"] = {**draft.parts, **{k: f"{folder}/state-{k}" for k in state}}
         for k, df in outputs.items():
             df.write.parquet(commit["outputs"][k])
         for k, df in state.items():
             df.write.parquet(commit["parts"][k])
         fs, Path = self._fs()
-        for k, (df, replaced) in (buckets or {}).items():
-            at = f"{folder}/state-{k}"
-            if replaced:
-                df.repartition(min(len(replaced), BUCKETS), "bucket").sortWithinPartitions("bucket").write.partitionBy("bucket").parquet(at)
-            there = [str(s.getPath().getName()) for s in fs.listStatus(Path(at))] if replaced else []
-            kept = {b: p for b, p in (last["parts"].get(k, {}) if last else {}).items() if int(b) not in set(replaced)}
-            commit["parts"][k] = kept | {n.split("=")[1]: f"{at}/{n}" for n in there if n.startswith("bucket=")}
         fs.mkdirs(Path(f"{self.path}/commits"))
         written, final = Path(f"{folder}/commit"), Path(f"{self.path}/commits/{run}.json")
         stream = fs.create(written, True)
@@ -260,7 +254,7 @@ class RunStore:
         """The place of the next run."""
         last = self.last()
         run = last["run"] + 1 if last else 1
-        return Draft(self.spark, last, run, f"{self.path}/runs/{run}-{uuid.uuid4().hex[:12]}")
+        return Draft(self, last, run, f"{self.path}/runs/{run}-{uuid.uuid4().hex[:12]}")
 
     def _forget(self, run: int) -> None:
         """Delete the state that only the commit before the last ``keep`` names."""
@@ -274,87 +268,124 @@ class RunStore:
             fs.delete(Path(p), True)
 
 
-#: Buckets of a part of the state: the tree's nodes above its leaves' parents, or eight bits of a hash.
-BUCKETS = 1 << FAN_BITS
-
-
 @dataclass
 class Draft:
     """A run that isn't committed yet: tables can be written to it and read again before it is."""
 
-    spark: SparkSession
+    store: RunStore
     last: dict | None
     run: int
     folder: str
     outputs: dict[str, str] = field(default_factory=dict)
+    parts: dict[str, dict[str, str]] = field(default_factory=dict)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write an output now; it counts once the run is committed."""
         self.outputs[name] = f"{self.folder}/{name}"
         df.write.parquet(self.outputs[name])
-        return self.spark.read.parquet(self.outputs[name])
+        return self.store.spark.read.parquet(self.outputs[name])
+
+    def keep_buckets(self, df: DataFrame, name: str, replaced: Sequence[int]) -> DataFrame:
+        """Write a part of the state that is kept in buckets: ``df`` has a column ``bucket`` and all rows of the buckets that it replaces.
+        A large bucket is written by several tasks, small ones together by one."""
+        at, there = f"{self.folder}/state-{name}", []
+        if replaced:
+            df.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(at)
+            fs, Path = self.store._fs()
+            there = [n for s in fs.listStatus(Path(at)) if (n := str(s.getPath().getName())).startswith("bucket=")]
+        before = self.last["parts"].get(name, {}) if self.last else {}
+        fresh = {n.split("=")[1]: f"{at}/{n}" for n in there}
+        self.parts[name] = {b: p for b, p in before.items() if int(b) not in set(replaced)} | fresh
+        return self.store.spark.read.schema(df.drop("bucket").schema).parquet(*fresh.values()) if fresh else df.drop("bucket").limit(0)
 
 
 # -- runs ------------------------------------------------------------------------------------------------------------------------
 
-LEVELS = 2  # of a saved tree: 65536 leaves under 256 nodes under the root; the nodes are the buckets
+LEVELS = 2  # of a saved tree: 65536 leaves under 256 nodes under the root
+LEAVES_BITS = LEVELS * FAN_BITS
 
 
 def _position(spaces: tuple[str, ...]) -> Column:
     """The leaf of a word: 16 bits of the hash of its space and its stretch of 4096 numbers."""
-    return F.shiftrightunsigned(F.xxhash64(*spaces, F.shiftright("word", LEAF_BITS - WORD_BITS)), 64 - LEVELS * FAN_BITS)
+    return F.shiftrightunsigned(F.xxhash64(*spaces, F.shiftright("word", LEAF_BITS - WORD_BITS)), 64 - LEAVES_BITS)
 
 
-def _bucket(node: str = "node") -> Column:
-    return F.shiftright(node, FAN_BITS).cast("int")
+def _bucket(store: RunStore) -> Column:
+    """The bucket of a leaf: the leading bits of its place."""
+    return F.shiftright("node", LEAVES_BITS - store.bucket_bits).cast("int")
 
 
 def _word_digests(w: DataFrame, spaces: tuple[str, ...]) -> DataFrame:
     return w.where(F.col("bits") != 0).groupBy("node").agg(_digest(*(F.col(c) for c in spaces), F.col("word"), F.col("bits")).alias("digest"))
 
 
+def _whole_tree(leaves: DataFrame) -> DataFrame:
+    """The tree over at most 65536 written leaves: so few that one task does it without a shuffle."""
+    return tree(leaves.coalesce(1), (), LEVELS)
+
+
 def _new_tree(saved: DataFrame | None, changed: DataFrame, leaves: DataFrame) -> DataFrame:
-    """The tree with the digests of ``changed`` leaves replaced by those of ``leaves``; the levels above follow. Of fixed size."""
+    """The tree with the digests of ``changed`` leaves replaced by those of ``leaves``; the levels above follow."""
     if saved is not None:
-        old = saved.where(F.col("level") == 0).select("node", "digest").join(F.broadcast(changed), "node", "left_anti")
-        leaves = leaves.unionByName(old)
-    return tree(leaves, (), LEVELS)
+        leaves = leaves.unionByName(saved.where(F.col("level") == 0).select("node", "digest").join(F.broadcast(changed), "node", "left_anti"))
+    return _whole_tree(leaves)
 
 
 def _differing(store: RunStore, digests: DataFrame, commit: dict | None) -> tuple[DataFrame, list[int], DataFrame | None]:
-    """The leaves at which the tree over ``digests`` differs from the saved one, the buckets they lie in, and the saved tree."""
+    """The leaves at which the tree over the written ``digests`` differs from the saved one, the buckets they lie in, and the saved tree.
+
+    From the root downwards: first its children, whose differing ones, at most 256, tell which leaves are compared at all.
+    """
     saved = store.state("tree", commit=commit)
     if saved is None:
-        leaves = cut(digests.select("node"))
-    else:
-        leaves = cut(changed_leaves(cut(tree(digests, (), LEVELS)), saved, (), LEVELS))  # at most 65536 rows
-    buckets = sorted(r[0] for r in leaves.select(_bucket()).distinct().collect())  # at most 256
-    return leaves, buckets, saved
+        return digests.select("node"), list(range(1 << store.bucket_bits)), None
+    now, parent = digests.coalesce(1), F.shiftright("node", FAN_BITS)
+    level = lambda k: saved.where(F.col("level") == k).select("node", "digest").coalesce(1)
+
+    def differ(a: DataFrame, b: DataFrame) -> DataFrame:
+        both = a.join(b.withColumnRenamed("digest", "saved"), "node", "full_outer")
+        return both.where(~F.col("digest").eqNullSafe(F.col("saved"))).select("node")
 
+    children = now.groupBy(parent.alias("node")).agg(_digest(F.col("node"), F.col("digest")).alias("digest"))
+    nodes = sorted(r[0] for r in differ(children, level(1)).collect())
+    leaves = cut(differ(now.where(parent.isin(nodes)), level(0).where(parent.isin(nodes))))
+    return leaves, sorted({n >> (FAN_BITS - store.bucket_bits) for n in nodes}), saved
 
-def run_words(store: RunStore, now: DataFrame, spaces: tuple[str, ...], number: str, process: Callable[[DataFrame], DataFrame], appended: bool = False) -> dict:
-    """One run over words. ``process`` gets (spaces, number) of what no earlier run had; its output, the words and the tree are published together.
+
+def run_words(store: RunStore, now: DataFrame, spaces: tuple[str, ...], number: str, process: Callable[[DataFrame], DataFrame] | None, appended: bool = False) -> dict:
+    """One run over words. ``process`` gets (spaces, number) of what no earlier run had; its output, the words and the tree are published
+    together. Without ``process`` they are only noted as processed.
 
     ``now`` is read several times: give a written table. It holds all records' words, whose tree is compared with the saved one; or,
     with ``appended``, those of the records that came since, whose leaves are the ones that can differ. In both cases saved words are
     read from, and written to, the buckets of differing leaves only. Numbers that are gone from the records stay processed.
     """
     placed = now.select(*spaces, "word", "bits", _position(spaces).alias("node"))
-    commit = store.last()
-    if appended:
-        leaves = cut(placed.select("node").distinct())
-        buckets, saved_tree = sorted(r[0] for r in leaves.select(_bucket()).distinct().collect()), store.state("tree", commit=commit)
+    commit, draft = store.last(), store.draft()
+    digests = None if appended and commit else cut(_word_digests(placed, spaces))
+    if digests is None:
+        leaves, saved_tree = cut(placed.select("node").distinct()), store.state("tree", commit=commit)
+        buckets = sorted(r[0] for r in leaves.select(_bucket(store)).distinct().collect())  # at most 256
     else:
-        leaves, buckets, saved_tree = _differing(store, _word_digests(placed, spaces), commit)
-    mine = placed.join(F.broadcast(leaves), "node", "left_semi")
+        leaves, buckets, saved_tree = _differing(store, digests, commit)
     saved = store.state("words", buckets, commit)
-    saved = saved if saved is not None else placed.limit(0)
-    draft = store.draft()
-    draft.keep(process(fresh_numbers(mine.drop("node"), saved.join(F.broadcast(leaves), "node", "left_semi").drop("node"), spaces, number)), "output")
-    merged = cut(saved.select(*placed.columns).unionByName(mine).groupBy(*spaces, "word", "node").agg(F.bit_or("bits").alias("bits")))
-    fresh_leaves = _word_digests(merged.join(F.broadcast(leaves), "node", "left_semi"), spaces)
-    state = {"tree": _new_tree(saved_tree, leaves, fresh_leaves).coalesce(1)}
-    return store.publish_parts({}, state, buckets={"words": (merged.withColumn("bucket", _bucket()), buckets)}, draft=draft)
+    mine = placed if commit is None else placed.join(F.broadcast(leaves), "node", "left_semi").select(*placed.columns)
+    merged = mine
+    if saved is not None:
+        saved = saved.select(*placed.columns)
+        merged = saved.unionByName(mine).groupBy(*spaces, "word", "node").agg(F.bit_or("bits").alias("bits")).select(*placed.columns)
+
+    def out() -> None:
+        if process:
+            before = placed.limit(0) if saved is None else saved.join(F.broadcast(leaves), "node", "left_semi")
+            draft.keep(process(fresh_numbers(mine.drop("node"), before.drop("node"), spaces, number)), "output")
+
+    def state() -> DataFrame:
+        written = draft.keep_buckets(merged.withColumn("bucket", _bucket(store)), "words", buckets)
+        return digests if commit is None else cut(_word_digests(written.join(F.broadcast(leaves), "node", "left_semi"), spaces))
+
+    own = side_by_side(state, out)[0]
+    return store.publish_parts({}, {"tree": _new_tree(saved_tree, leaves, own)}, draft=draft)
 
 
 def run_numbered(store: RunStore, records: DataFrame, spaces: tuple[str, ...], number: str, process: Callable[[DataFrame], DataFrame]) -> dict:
@@ -373,18 +404,18 @@ def run_keyed(store: RunStore, records: DataFrame, keys: tuple[str, ...], conten
     The records that go out are read once and kept, and the digests that are published for them are computed from what was kept, so a
     record that changes during the run goes out again in the next one. Saved digests are read from differing buckets only.
     """
-    commit = store.last()
-    now = cut(key_index(records, keys, content, LEVELS * FAN_BITS))
-    leaves, buckets, saved_tree = _differing(store, index_leaves(now), commit)
+    commit, draft = store.last(), store.draft()
+    now = cut(key_index(records, keys, content, LEAVES_BITS))
+    leaves, buckets, saved_tree = _differing(store, cut(index_leaves(now)), commit)
     mine = now.join(F.broadcast(leaves), "node", "left_semi")
     saved = store.state("index", buckets, commit)
-    saved = saved if saved is not None else now.limit(0)
+    saved = (saved if saved is not None else now.limit(0)).select(*now.columns)
     changes = cut(compare_indexes(mine, saved.join(F.broadcast(leaves), "node", "left_semi")))
     out = changes.where(F.col("change") != "removed").select(F.col("key_hash").alias("__key_hash"))
     fresh = cut(records.withColumn("__key_hash", key_hash(keys)).join(out, "__key_hash", "left_semi").drop("__key_hash"))
-    draft = store.draft()
     draft.keep(process(fresh, changes), "output")
-    index = cut(mine.join(changes, "key_hash", "left_anti").select(*now.columns).unionByName(key_index(fresh, keys, content, LEVELS * FAN_BITS)))
-    state = {"tree": _new_tree(saved_tree, leaves, index_leaves(index)).coalesce(1)}
-    others = saved.select(*now.columns).join(F.broadcast(leaves), "node", "left_anti")
-    return store.publish_parts({}, state, buckets={"index": (others.unionByName(index).withColumn("bucket", _bucket()), buckets)}, draft=draft)
+    index = mine.join(changes, "key_hash", "left_anti").select(*now.columns).unionByName(key_index(fresh, keys, content, LEAVES_BITS))
+    others = saved.join(F.broadcast(leaves), "node", "left_anti").select(*now.columns)
+    written = draft.keep_buckets(others.unionByName(index).withColumn("bucket", _bucket(store)), "index", buckets)
+    own = cut(index_leaves(written.join(F.broadcast(leaves), "node", "left_semi")))
+    return store.publish_parts({}, {"tree": _new_tree(saved_tree, leaves, own)}, draft=draft)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import checkpoints, dedup, heavy, incremental, late, rolling
-from tidemark.session import broadcast_within, cut, scratch, table
+from tidemark.session import broadcast_within, cut, scratch, side_by_side, table
 from tidemark.streaming import corrections
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,10 +71,9 @@ def _words(spark: SparkSession, d: str) -> DataFrame:
 def _pending(spark: SparkSession, d: str) -> DataFrame:
     """Two runs of a store. The first commits what the completed checkpoints had processed, the words up to the saved offsets, with its
     tree; the second compares the tree of all deliveries with it and gives out what is new."""
-    now = _words(spark, d)
-    saved = cut(checkpoints.saved_offsets(table(spark, d, "rlink_ck")))  # a row per partition
+    now, saved = side_by_side(lambda: _words(spark, d), lambda: cut(checkpoints.saved_offsets(table(spark, d, "rlink_ck"))))  # the latter a row per partition
     store = incremental.RunStore(spark, scratch(spark))
-    incremental.run_words(store, cut(incremental.upto(now, saved, PRODUCER, "saved")), PRODUCER, "offset", lambda done: done.limit(0))
+    incremental.run_words(store, cut(incremental.upto(now, saved, PRODUCER, "saved")), PRODUCER, "offset", None)
     return store.output(commit=incremental.run_words(store, now, PRODUCER, "offset", lambda fresh: fresh))
 
 

@@ -6,10 +6,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: Settings of a local or test session. On a cluster the submitter's settings hold.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -61,6 +66,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def side_by_side(*steps: Callable[[], T]) -> list[T]:
+    """What independent steps give, each of which starts jobs of its own: small jobs that don't fill the cluster share it."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [f.result() for f in [pool.submit(s) for s in steps]]
+
+
 #: Bytes of a side that is broadcast: what its columns' texts and numbers take, counted before the join.
 MAX_BROADCAST_BYTES = 256 << 20
 
