@@ -20,6 +20,7 @@ def stepped(*spans: tuple[int, int, int]) -> tuple[int, ...]:
     return tuple(x for first, last, step in spans for x in range(first, last + 1, step))
 
 
+# Spans of the 345-point and the 2400-point scale.
 SCALE_345 = stepped((1, 50, 1), (52, 100, 2), (110, 1000, 10), (1100, 10_000, 100), (11_000, 100_000, 1000))
 SCALE_2400 = stepped((1, 1000, 1), (1010, 10_000, 10), (10_100, 60_000, 100))
 

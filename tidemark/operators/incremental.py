@@ -96,7 +96,9 @@ def word_leaves(w: DataFrame, spaces: tuple[str, ...]) -> DataFrame:
 def upto(w: DataFrame, offsets: DataFrame, spaces: tuple[str, ...], saved: str) -> DataFrame:
     """Of ``w`` the numbers up to the saved one of their space (null or no row: none): what a run that saved these had processed."""
     place = F.col(saved) - F.shiftleft(F.col("word"), WORD_BITS)  # of the saved number in this word
-    low = F.when(place >= 63, F.lit(-1).cast("bigint")).when(place >= 0, F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("bigint"), (place + 1).cast("int")))).otherwise(F.lit(0).cast("bigint"))
+    all_, none = F.lit(-1).cast("bigint"), F.lit(0).cast("bigint")
+    some = F.bitwise_not(F.call_function("shiftleft", all_, (place + 1).cast("int")))
+    low = F.when(place >= 63, all_).when(place >= 0, some).otherwise(none)
     return w.join(offsets.select(*spaces, saved), list(spaces)).select(*spaces, "word", F.col("bits").bitwiseAND(low).alias("bits")).where(F.col("bits") != 0)
 
 
@@ -182,7 +184,9 @@ class RunStore:
         """Rename that fails if the target exists."""
         hadoop = self.spark._jvm.org.apache.hadoop.fs
         none = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
-        hadoop.FileContext.getFileContext(final.toUri() if final.toUri().getScheme() else final.getFileSystem(self.spark._jsc.hadoopConfiguration()).getUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, final, none)
+        conf = self.spark._jsc.hadoopConfiguration()
+        uri = final.toUri() if final.toUri().getScheme() else final.getFileSystem(conf).getUri()
+        hadoop.FileContext.getFileContext(uri, conf).rename(draft, final, none)
 
     def commit(self, run: int) -> dict | None:
         fs, Path = self._fs()

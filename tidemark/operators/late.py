@@ -96,7 +96,8 @@ def classify(rows: DataFrame, limits: DataFrame, spec: LateSpec = LateSpec(), ke
     """
     marks = cut(low_watermarks(punctuations(rows, spec), spec))
     small = marks.limit(spec.max_broadcast_rows + 1).count() <= spec.max_broadcast_rows
-    bounds = broadcast_within(limits.select(spec.group, *(F.col(c).cast("bigint").alias(f"__{k}") for k, c in (("delay", spec.delay), ("size", spec.size), ("late", spec.lateness)))), spec.max_broadcast_rows)
+    named = (("delay", spec.delay), ("size", spec.size), ("late", spec.lateness))
+    bounds = broadcast_within(limits.select(spec.group, *(F.col(c).cast("bigint").alias(f"__{k}") for k, c in named)), spec.max_broadcast_rows)
     cols = list(dict.fromkeys([spec.group, spec.batch, spec.ts, *keep]))
     taken = [c for c in keep if c.lower() in ("window_start", "window_end", "watermark", "arrival")]
     if taken:

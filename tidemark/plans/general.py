@@ -40,7 +40,8 @@ def p2_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_first_fired(spark: SparkSession, d: str) -> DataFrame:
     out = late.corrected_windows(_named(_classified(spark, d))).where(F.col("first_row_count") > 0)
-    return out.select("job_id", "name", "window_start", "window_end", F.col("first_sum_value").cast("bigint").alias("sum_value"), F.col("first_max_value").alias("max_value"), F.col("first_min_value").alias("min_value"), F.col("first_row_count").alias("row_count"))
+    out = out.withColumn("first_sum_value", F.col("first_sum_value").cast("bigint"))
+    return out.select("job_id", "name", "window_start", "window_end", *(F.col(f"first_{c}").alias(c) for c in _VALUES))
 
 
 def p2_revisions(spark: SparkSession, d: str) -> DataFrame:
@@ -186,7 +187,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_rolling(spark: SparkSession, d: str) -> DataFrame:
     days = rolling.rolling_totals(_named(table(spark, d, "stream_table").select("name", "timestamp", "value")))
-    return days.select("name", F.date_format("day", "yyyy-MM-dd").alias("day"), "rows_today", *(x for w in (7, 30) for x in (F.col(f"total_{w}d").cast("bigint").alias(f"total_{w}d"), F.col(f"n_{w}d"), F.col(f"avg_{w}d"))))
+    measures = (x for w in (7, 30) for x in (F.col(f"total_{w}d").cast("bigint").alias(f"total_{w}d"), F.col(f"n_{w}d"), F.col(f"avg_{w}d")))
+    return days.select("name", F.date_format("day", "yyyy-MM-dd").alias("day"), "rows_today", *measures)
 
 
 def p6_undated(spark: SparkSession, d: str) -> DataFrame:
