@@ -126,7 +126,8 @@ class Mixer:
         plan = self.spark.createDataFrame([(s.source, s.target) for s in self.shares], "source string, target_share double")
         rows = plan.join(listed, "source").join(got, "source", "left").select(F.col("name").alias("source"), "target_share", F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("size", F.lit(0)).alias("size"))
         rows = cut(rows)  # a row per target
-        return rows.join(F.broadcast(rows.agg(F.sum("size").alias("__all")))).select(*rows.columns, F.when(F.col("__all") > 0, F.col("size") / F.col("__all")).otherwise(F.lit(0.0)).alias("share"))
+        total = rows.agg(F.sum("size")).scalar()
+        return rows.select(*rows.columns, F.when(total > 0, F.col("size") / total).otherwise(F.lit(0.0)).alias("share"))
 
 
 def tokenizer_size(path: str) -> Callable[[Column], Column]:
