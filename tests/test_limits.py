@@ -72,8 +72,8 @@ def test_the_end_of_input_is_after_the_last_row(spark, tmp_path, start):
 
 
 def test_row_rules_of_a_stream_need_sources(spark, tmp_path):
-    spark.createDataFrame([], "timestamp bigint").write.parquet(str(tmp_path))
-    stream = Stream(spark.readStream.schema("timestamp bigint").parquet(str(tmp_path)))
+    spark.createDataFrame([], "timestamp bigint").write.parquet(str(tmp_path / "in"))
+    stream = Stream(spark.readStream.schema("timestamp bigint").parquet(str(tmp_path / "in")))
     for s in (bounded(1).wrap_idleness(5), bounded(1).wrap_time_periodic(1, 1), generated(WatermarkGenerator)):
         with pytest.raises(ValueError, match="sources"):
             stream.assign_timestamps(s)
@@ -162,23 +162,22 @@ def test_keys_and_processes_refuse_what_is_not_there(spark):
     assert memory.random_rows(spark, 0).count() == 0
 
 
-class Count(state.CoProcess):
-    """Counts the rows of each input per key; opened before and closed after."""
-
-    def open(self):
-        self.opened = True
+def test_three_inputs_with_state(spark):
+    class Count(state.CoProcess):
+        """Counts the rows of each input per key; opened before the first one."""
 
-    def left(self, row, state):
-        state["n"] = state.get("n", 0) + 1
-        yield {"k": row["k"], "n": state["n"], "r": state.get("r", 0)}
+        def open(self):
+            self.opened = True
 
-    def right(self, number, row, state):
-        assert self.opened
-        state["r"] = state.get("r", 0) + number + 1
-        return ()
+        def left(self, row, state):
+            state["n"] = state.get("n", 0) + 1
+            yield {"k": row["k"], "n": state["n"], "r": state.get("r", 0)}
 
+        def right(self, number, row, state):
+            assert self.opened
+            state["r"] = state.get("r", 0) + number + 1
+            return ()
 
-def test_three_inputs_with_state(spark):
     df = lambda rows: Stream(spark.createDataFrame(rows, "k string, at int, extra int"))
     out = df([("a", 2, 1), (None, 1, 1), ("a", 5, 1)]).connect(df([("a", 1, 0)]), df([("a", 3, 0), ("b", 1, 0)])).stateful(["k"], Count, "k string, n int, r int", ["at"])
     assert sorted(map(str, (tuple(r) for r in out.df.collect()))) == sorted(map(str, [("a", 1, 1), ("a", 2, 3), (None, 1, 0)]))

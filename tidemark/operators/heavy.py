@@ -26,8 +26,7 @@ def per_key(rows: DataFrame, key: str = "name", value: str = "value") -> DataFra
 def heavy_keys(rows: DataFrame, key: str = "name", value: str = "value", share: tuple[int, int] = (1, 100)) -> DataFrame:
     """:func:`per_key` of the keys that hold at least ``share`` (a fraction) of all rows, null and empty keys included in "all".
 
-    The number of all rows is counted when the query runs, from a scan without columns, and joined as one row.
+    The number of all rows is a scalar subquery: counted when the query runs, from a scan without columns.
     """
-    each = per_key(rows, key, value)
-    total = rows.agg(F.count(F.lit(1)).alias("__total"))
-    return each.join(F.broadcast(total), F.col("row_count") * share[1] >= F.col("__total") * share[0]).drop("__total")
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    return per_key(rows, key, value).where(F.col("row_count") * share[1] >= total * share[0])

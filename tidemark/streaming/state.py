@@ -174,6 +174,7 @@ def co_process(inputs: Sequence[DataFrame], keys: list[str], process: Callable[[
     if missing:
         raise ValueError(f"no such columns to order by: {missing}")
     out = _schema(schema)
+    both.sparkSession.streams.active  # noqa: B018 - bounded inputs need the coordinator of state stores, which this sets up
     return both.groupBy(*keys).transformWithState(_CoProcessor(process, [df.columns for df in inputs], out.names, order), out, "Append", "None")
 
 
