@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +23,7 @@ from tidemark.plans.registry import Registry
 from tidemark.plans.stream import Stream
 from tidemark.properties import Properties
 from tidemark.session import scratch, table
-from tidemark.sources import kafka, memory, sinks
+from tidemark.sources import jdbc, kafka, memory, sinks
 from tidemark.streaming import runner
 from tidemark.streaming.watermarks import bounded
 from tidemark.types import SPARK_TYPES, is_numeric
@@ -189,15 +190,28 @@ def sink_memory(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT s_suppkey, s_name FROM supplier")
 def sink_jdbc(spark: SparkSession, d: str) -> DataFrame:
-    """Rows to two databases in memory, and read back from both. Needs a local session: the databases live in its one JVM."""
+    """Rows to two databases in memory, and read back from both. The databases live in the driver's JVM; on a cluster,
+    where the rows that are read back are copied, they are dropped then."""
     rows = table(spark, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("s_suppkey"), "s_name")
     urls = [f"jdbc:derby:memory:t{uuid.uuid4().hex};create=true" for _ in range(2)]
     options = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
-    sinks.jdbc_sink(urls, "suppliers", **options)(rows)
-    back = [spark.read.format("jdbc").options(url=u, dbtable="suppliers", **options).load() for u in urls]
+    sinks.jdbc_sink(urls, "suppliers", embedded=True, **options)(rows)
+    back = [jdbc.jdbc_source(spark, u, "suppliers", embedded=True, **options) for u in urls]
+    if not jdbc.in_driver(spark):
+        for u in urls:
+            _drop_derby(spark, u)
     return back[0].unionByName(back[1]).toDF("s_suppkey", "s_name").withColumn("s_suppkey", F.col("s_suppkey").cast(table(spark, d, "supplier").schema["s_suppkey"].dataType))
 
 
+def _drop_derby(spark: SparkSession, url: str) -> None:
+    """Drop a Derby database in memory, which Derby confirms by an error."""
+    try:
+        spark._jvm.java.sql.DriverManager.getConnection(url.replace(";create=true", ";drop=true"))
+    except Py4JJavaError as e:
+        if e.java_exception.getSQLState() != "08006":
+            raise
+
+
 @query("SELECT 'suppliers' AS index, s_suppkey AS id, s_name AS name FROM supplier")
 def sink_bulk(spark: SparkSession, d: str) -> DataFrame:
     """What a server gets from the bulk sink, in requests of at most 50 documents, the last one of an id counting."""

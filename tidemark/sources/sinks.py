@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.session import cut
+from tidemark.sources import jdbc
 from tidemark.sources.kafka import writer_columns
 
 Sink = Callable[[DataFrame], Any]
@@ -118,9 +119,10 @@ def kafka_sink(conf: dict[str, str], topic: str | None = None, checkpoint: str |
     return to
 
 
-def jdbc_sink(urls: list[str], table: str, batch_size: int = 10_000, checkpoint: str | None = None, **options: str) -> Sink:
+def jdbc_sink(urls: list[str], table: str, batch_size: int = 10_000, checkpoint: str | None = None, embedded: bool = False, **options: str) -> Sink:
     """Rows to a JDBC database such as ClickHouse, micro-batch by micro-batch. With several urls a row's content tells which gets it, and
-    the rows are computed once, so none is lost or doubled between them. A failed task repeats its batch: let the table replace by key."""
+    the rows are computed once, so none is lost or doubled between them. A failed task repeats its batch: let the table replace by key.
+    ``embedded`` says that the databases live in the driver's JVM, so that on a cluster the driver writes."""
     if not urls:
         raise ValueError("no url")
 
@@ -131,7 +133,7 @@ def jdbc_sink(urls: list[str], table: str, batch_size: int = 10_000, checkpoint:
             dealt = cut(df.withColumn("__shard", F.pmod(F.xxhash64(F.to_json(F.struct("*"))), F.lit(len(urls)))))
             parts = [dealt.where(F.col("__shard") == i).drop("__shard") for i in range(len(urls))]
         for url, part in zip(urls, parts):
-            part.write.format("jdbc").options(url=url, dbtable=table, batchsize=str(batch_size), **options).mode("append").save()
+            jdbc.append(part, url, table, batch_size, embedded, **options)
 
     return _per_batch(write, checkpoint)
 
